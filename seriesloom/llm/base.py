@@ -108,7 +108,13 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
         offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
         flat = flat.filter(pa.array(full))
     coded = flat.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist(), offsets
+    words = coded.dictionary
+    if len(words):  # one string is far cheaper to hand over than its words, which hold no line feed
+        whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
+        distinct = pc.binary_join(whole, "\n")[0].as_py().split("\n")
+    else:
+        distinct = []
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), distinct, offsets
 
 
 def slices(record: pa.RecordBatch, column: str, most: int = 8 << 20):

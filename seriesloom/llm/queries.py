@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import extraction, media, mixing, quality
+from . import extraction, huffman, media, mixing, quality, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op4_mixing": mixing.op4_mixing,
     "op5_html_extraction": extraction.op5_html_extraction,
     "op6_media": media.op6_media,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_huffman": huffman.op8_huffman,
 }
 ORACLES = {"op4_mixing": mixing.OP4_SQL}
