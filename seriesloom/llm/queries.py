@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import extraction, huffman, media, mixing, quality, toxicity
+from . import extraction, huffman, media, mixing, packing, quality, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op3_packing": packing.op3_packing,
     "op4_mixing": mixing.op4_mixing,
     "op5_html_extraction": extraction.op5_html_extraction,
     "op6_media": media.op6_media,
