@@ -128,3 +128,37 @@ def slices(record: pa.RecordBatch, column: str, most: int = 8 << 20):
         total += int(n)
     if start < len(sizes):
         yield record.slice(start)
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a batch of texts end to end, and where each begins: one more than texts."""
+    whole = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1, whole.offset * 8) if len(whole) else np.zeros(1, np.int64)
+    data = whole.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Disjoint, ordered intervals with the same union; touching ones become one."""
+    if not len(starts):
+        return starts, ends
+    order = np.argsort(starts, kind="stable")
+    starts, far = starts[order], np.maximum.accumulate(ends[order])
+    first = np.concatenate([[True], starts[1:] > far[:-1]])
+    last = np.concatenate([first[1:], [True]])
+    return starts[first], far[last]
+
+
+NO_ID = -(1 << 63)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the key (d, t) of a row: its id (NO_ID for null) and its text's hash.
+
+    Rows with one key are copies of each other, so results by key hold for each of them.
+    """
+    text = text_of(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
+        "doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("t")
+    )
