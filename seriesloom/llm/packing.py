@@ -132,7 +132,7 @@ def recipes(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
 
 
 def pack(docs: DataFrame, end_id: int = END, length: int = LENGTH, unit: int = UNIT, path: str | None = None) -> DataFrame:
-    """A row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian uint16)."""
+    """A row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian uint32)."""
     spark = docs.sparkSession
     tokens = base.stored(token_table(docs, end_id, path).drop("counts"), "tokens")
     remainder = F.col("n") % length
@@ -186,11 +186,12 @@ def pack(docs: DataFrame, end_id: int = END, length: int = LENGTH, unit: int = U
 
     def run(batches):
         for whole_batch in batches:
-            for b in base.slices(whole_batch, "ids"):
+            for b in base.slices(whole_batch, "ids", 4 << 20):
                 out: dict[str, list] = {f.name: [] for f in schema}
-                for doc, n, ids, own in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "ids", "pieces"))):
+                for doc, n, raw, own in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "ids", "pieces"))):
+                    ids = np.frombuffer(raw, "<u2").astype("<u4").tobytes()
                     for p in own:
-                        for column, v in zip(out.values(), (doc, p["start"], p["length"], n, p["sequence_id"], p["offset"], ids[2 * p["start"] : 2 * (p["start"] + p["length"])])):
+                        for column, v in zip(out.values(), (doc, p["start"], p["length"], n, p["sequence_id"], p["offset"], ids[4 * p["start"] : 4 * (p["start"] + p["length"])])):
                             column.append(v)
                 yield base.batch(schema, **out)
 
@@ -198,20 +199,6 @@ def pack(docs: DataFrame, end_id: int = END, length: int = LENGTH, unit: int = U
     return base.arrow_map(tokens.join(pieces, ["part", "row"]).select("doc_id", "n", "ids", "pieces"), run, ddl)
 
 
-def digested(pieces: DataFrame) -> DataFrame:
-    """The pieces with ids_crc32, of their ids as little-endian uint32, instead of the ids."""
-    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-    schema = pa.schema([(c, pa.int64()) for c in names])
-
-    def run(batches):
-        import zlib
-
-        for b in batches:
-            crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in b.column("ids").to_pylist()]
-            yield base.batch(schema, ids_crc32=crc, **{c: b.column(c) for c in names if c != "ids_crc32"})
-
-    return base.arrow_map(pieces, run, ", ".join(f"{c} long" for c in names))
-
-
 def op3_packing(spark, sf_dir: str) -> DataFrame:
-    return digested(pack(base.documents(spark, sf_dir)))
+    pieces = pack(base.documents(spark, sf_dir))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

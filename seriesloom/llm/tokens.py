@@ -25,7 +25,7 @@ from . import base
 
 VOCABULARY = "word_bpe_49k.json"
 SIZE = 49408
-MOST_WORDS = 700_000
+MOST_WORDS = 250_000  # a worker's memory, not the corpus's: words are forgotten beyond it and tokenised again
 TABLE = "part int, row long, doc_id long, n long, ids binary, counts binary"
 
 
