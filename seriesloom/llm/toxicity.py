@@ -21,7 +21,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +29,11 @@ from pyspark.sql import functions as F
 
 from . import base
 
-MAX_FIT = 2000
+MAX_FIT = 1000
 CHAIN = 64
 TABLE = 1 << 18
 KINDS = 7
-EVIDENCE = 10.0
+EVIDENCE = 8.0
 SPANS = "array<struct<start:int,end:int,probability:double>>"
 _edge = re.compile(r"^[\W_]+|[\W_]+$")
 _token = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,7 +48,7 @@ def features(word: str) -> tuple[str, ...]:
 
 
 def hashed(word: str) -> list[int]:
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) % TABLE for f in features(word)]
+    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) for f in features(word)]
 
 
 def chains(ends: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,37 +103,41 @@ def forward_backward(energy: np.ndarray, starts: np.ndarray, lengths: np.ndarray
     return p, joint.sum(1).reshape(2, 2)
 
 
-def token_labels(tokens: list[list[str]], toxic: np.ndarray) -> list[np.ndarray]:
-    """Per document, which tokens are toxic, from the documents' labels alone."""
-    clean: Counter = Counter()
-    support: dict[str, tuple[set, ...]] = {}
-    names: dict[str, tuple[str, ...]] = {}
-    for words, y in zip(tokens, toxic):
-        kinds: set[str] = set()
-        for w in set(words):
-            if w not in names:
-                names[w] = features(w)[:5]
-            kinds.update(names[w])
+def marked(hashes: np.ndarray, sized: np.ndarray, codes: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Which of the words mark toxic documents, from the documents' labels alone.
+
+    hashes: of the features of each word; sized: is the word long enough to be judged; codes: the
+    words of each document. Near copies of one document share most of three minima over its words, and
+    support a feature once.
+    """
+    names = hashes[:, : KINDS - 2]
+    clean, pairs = [], []
+    for own, y in zip(codes, toxic):
+        own = np.unique(own)
+        kinds = np.unique(names[own[sized[own]]])
         if not y:
-            clean.update(kinds)
+            clean.append(kinds)
             continue
-        # near copies of one document share most of these, so that they support a mark once
-        raw = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in set(words)]
-        same = [min((x * k & 0xFFFFFFFF for x in raw), default=0) for k in (2654435761, 2246822519, 3266489917)]
-        for f in kinds:
-            for seen, x in zip(support.setdefault(f, (set(), set(), set())), same):
-                seen.add(x)
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+        first = hashes[own, 0]
+        same = [int((first * np.uint64(k) & np.uint64(0xFFFFFFFF)).min(initial=0xFFFFFFFF)) for k in (2654435761, 2246822519, 3266489917)]
+        pairs.append((kinds, same))
+    none = np.zeros(0, np.uint64)
+    seen, many = np.unique(np.concatenate([*clean, none]), return_counts=True)
+    support: np.ndarray | None = None
+    for i in range(3):
+        both = np.unique(np.concatenate([*(k << np.uint64(32) | np.uint64(s[i]) for k, s in pairs), none]))
+        found, count = np.unique(both >> np.uint64(32), return_counts=True)
+        support = count if support is None else np.minimum(support, count)
+    b = np.zeros(len(found))
+    if len(seen):
+        at = np.minimum(np.searchsorted(seen, found), len(seen) - 1)
+        b = np.where(seen[at] == found, many[at], 0).astype(float)
+    a, n1, n0 = support.astype(float), max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     share = n1 / (n1 + n0)
-    marks = set()
-    for f, groups in support.items():
-        a, b = min(map(len, groups)), clean.get(f, 0)
-        if a / n1 < 10 * b / n0 or len(f) < 5:
-            continue
-        ratio = a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0.0)
-        if ratio >= EVIDENCE:
-            marks.add(f)
-    return [np.array([bool(y) and not marks.isdisjoint(names[w]) for w in words], bool) for words, y in zip(tokens, toxic)]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = a * np.log(a / ((a + b) * share)) + np.where(b > 0, b * np.log(b / ((a + b) * (1 - share))), 0.0)
+    marks = found[(a / n1 >= 10 * b / n0) & (ratio >= EVIDENCE)]
+    return sized & np.isin(names, marks).any(1)
 
 
 def _ends(words: list[str]) -> np.ndarray:
@@ -145,12 +148,12 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float, epochs: int =
     """The field's weights and the score's logistic function, from whole labelled texts."""
     if not toxic.any() or toxic.all():
         return None
-    tokens = [t.split() for t in (x.encode("utf-8", "surrogatepass") for x in texts)]
-    tokens = [[w.decode("utf-8", "surrogatepass") for w in ws] for ws in tokens]
-    labels = token_labels(tokens, toxic)
-    words = sorted({w for ws in tokens for w in ws})
-    code = {w: i for i, w in enumerate(words)}
-    table = np.array([hashed(w) for w in words], np.int64).reshape(len(words), KINDS)
+    flat, words, bounds = base.split_words(pa.array(texts, pa.large_string()))
+    tokens = [flat[i:j] for i, j in zip(bounds[:-1], bounds[1:])]
+    hashes = np.fromiter((h for w in words for h in hashed(w)), np.uint64, len(words) * KINDS).reshape(len(words), KINDS)
+    sized = np.array([len(_edge.sub("", w)) > 2 for w in words], bool)
+    marks = marked(hashes, sized, tokens, toxic)
+    table = (hashes % np.uint64(TABLE)).astype(np.int64)
     ending = _ends(words)
     weight, moved = np.zeros(TABLE), np.full(TABLE, 1e-2)
     bias, start, trans = -4.0, 0.0, np.zeros((2, 2))
@@ -159,8 +162,8 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float, epochs: int =
     groups = [order[i : i + 100] for i in range(0, len(order), 100)]
     ready = []
     for g in groups:
-        codes = np.array([code[w] for i in g for w in tokens[i]], np.int64)
-        y = np.concatenate([labels[i] for i in g]) if len(codes) else np.zeros(0, bool)
+        codes = np.concatenate([tokens[i] for i in g])
+        y = np.concatenate([marks[tokens[i]] & toxic[i] for i in g])
         offsets = np.cumsum([0] + [len(tokens[i]) for i in g])
         own, local = np.unique(codes, return_inverse=True)
         ready.append((local, y.astype(float), *chains(ending[codes], offsets), table[own], offsets))
@@ -255,7 +258,7 @@ def score(docs: DataFrame, model: dict | None, spans: bool = True) -> DataFrame:
                     yield base.batch(schema, doc_id=b.column("doc_id"), score=[0.0] * n, n_toxic=[0] * n, spans=[[]] * n)
                     continue
                 codes, words, offsets = base.split_words(b.column("text"))
-                if len(seen) > 400_000:
+                if len(seen) > 250_000:
                     seen.clear()
                     table.clear()
                 weight = model["weight"]
@@ -264,7 +267,7 @@ def score(docs: DataFrame, model: dict | None, spans: bool = True) -> DataFrame:
                     k = seen.get(w)
                     if k is None:
                         k = seen[w] = len(table)
-                        table.append(model["bias"] + sum(float(weight[f]) for f in hashed(w)))
+                        table.append(model["bias"] + sum(float(weight[f % TABLE]) for f in hashed(w)))
                     at[i] = k
                 energy = np.array(table)[at][codes] if len(words) else np.zeros(0)
                 starts, lengths = chains(_ends(words)[codes] if len(words) else np.zeros(0, bool), offsets)
