@@ -162,3 +162,49 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
         "doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("t")
     )
+
+
+def groups(batches, keys: tuple[str, ...], body: str, most: int = 4 << 20):
+    """Tables of whole groups of rows that follow each other with equal keys, several groups at a time.
+
+    Only groups' own rows are held: about `most` bytes of the body column, or one group if that is larger.
+    """
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def last_start(table: pa.Table) -> int:
+        n = table.num_rows
+        changed = np.zeros(n - 1, bool)
+        for k in keys:
+            x = table.column(k).to_numpy()
+            changed |= x[1:] != x[:-1]
+        at = np.flatnonzero(changed)
+        return int(at[-1]) + 1 if len(at) else 0
+
+    for whole in batches:
+        for b in slices(whole, body, most):
+            held.append(b)
+            size += pc.sum(pc.binary_length(b.column(body))).as_py() or 0
+            if size < most:
+                continue
+            table = pa.Table.from_batches(held)
+            cut = last_start(table)
+            if cut:
+                yield table.slice(0, cut)
+                held, size = table.slice(cut).to_batches(), 0
+            else:
+                size = 0  # one group so far: look again when as much has come anew
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def bounds(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
+    """Where groups of equal keys begin in a table, and its length."""
+    n = table.num_rows
+    first = np.zeros(n, bool)
+    if n:
+        first[0] = True
+    for k in keys:
+        x = table.column(k).to_numpy()
+        first[1:] |= x[1:] != x[:-1]
+    return np.append(np.flatnonzero(first), n)

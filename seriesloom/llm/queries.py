@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extraction, huffman, media, mixing, packing, quality, suffixes, toxicity
+from . import extraction, huffman, jaccard, media, mixing, packing, quality, suffixes, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_media": media.op6_media,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_huffman": huffman.op8_huffman,
+    "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 ORACLES = {"op4_mixing": mixing.OP4_SQL}

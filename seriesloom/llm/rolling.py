@@ -44,7 +44,7 @@ class Sums:
     """
 
     def __init__(self, data: np.ndarray, values: np.ndarray | None = None):
-        raw = _BYTES[data] if values is None else values
+        raw = _BYTES[data] if values is None else values  # other values than those of the bytes
         n = len(raw)
         self.sums = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
@@ -88,3 +88,42 @@ def winnow(hashes: np.ndarray, w: int) -> np.ndarray:
     low[gaps[w:] > gaps[: len(low)]] = 0
     top = MAX - sliding_min(MAX - low, w)  # for each place, the largest minimum of a window it is in
     return np.flatnonzero((top[:n] == hashes) & (hashes != MAX))
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the ASCII white-space words of texts end to end, and the first word of each text."""
+    n = len(data)
+    ink = np.zeros(n + 2, bool)
+    ink[1:-1] = ~_SPACE[data]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(ink[1:-1] & (~ink[:-2] | edge[:-1]))
+    ends = np.flatnonzero(ink[1:-1] & (~ink[2:] | edge[1:])) + 1
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the k-word runs of each text, and where each text's begin.
+
+    A text of fewer than k words has one, of all its words; a text without words has none.
+    """
+    starts, ends, first = words_of(data, offsets)
+    texts = len(offsets) - 1
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(texts + 1, np.int64)
+    sums = Sums(data, Sums(data).of(starts, ends))
+    n = np.diff(first)
+    runs = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+    doc = np.repeat(np.arange(texts), runs)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(runs) - runs, runs) + first[:-1][doc]
+    h = sums.of(at, np.minimum(at + k, first[1:][doc]))
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    keep = np.ones(len(h), bool)
+    keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    h, doc = h[keep], doc[keep]
+    return h, np.searchsorted(doc, np.arange(texts + 1))
