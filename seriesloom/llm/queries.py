@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import extraction, huffman, jaccard, media, mixing, packing, quality, suffixes, toxicity
+from . import extraction, huffman, jaccard, media, mixing, packing, passages, quality, suffixes, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_substring_dedup": passages.op2_substring_dedup,
     "op3_packing": packing.op3_packing,
     "op4_mixing": mixing.op4_mixing,
     "op5_html_extraction": extraction.op5_html_extraction,

@@ -243,51 +243,76 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> dict | No
     return train([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows], bool), n1 / (n1 + n0))
 
 
+class Judge:
+    """Scores batches of whole texts; keeps the energies of words it has met, up to a bound."""
+
+    def __init__(self, model: dict | None):
+        self.model, self.seen, self.table = model, {}, []
+
+    def __call__(self, texts: pa.Array, spans: bool) -> tuple[np.ndarray, np.ndarray, list]:
+        """Score, number of toxic tokens and, with spans, their offsets, of each text."""
+        n, model = len(texts), self.model
+        if model is None:
+            return np.zeros(n), np.zeros(n, np.int64), [[]] * n
+        codes, words, offsets = base.split_words(texts)
+        if len(self.seen) > 250_000:
+            self.seen.clear()
+            self.table.clear()
+        seen, table, weight = self.seen, self.table, model["weight"]
+        at = np.empty(len(words), np.int64)
+        for i, w in enumerate(words):
+            k = seen.get(w)
+            if k is None:
+                k = seen[w] = len(table)
+                table.append(model["bias"] + sum(float(weight[f % TABLE]) for f in hashed(w)))
+            at[i] = k
+        energy = np.array(table)[at][codes] if len(words) else np.zeros(0)
+        starts, lengths = chains(_ends(words)[codes] if len(words) else np.zeros(0, bool), offsets)
+        p = forward_backward(energy, starts, lengths, model["start"], model["trans"])
+        bias, by_any, by_count = model["score"]
+        scores = 1 / (1 + np.exp(-np.clip(bias + summed(p, offsets) @ np.array([by_any, by_count]), -30, 30)))
+        hit = np.concatenate([[0], np.cumsum(p >= 0.5)])
+        hits = hit[offsets[1:]] - hit[offsets[:-1]]
+        found: list = [[]] * n
+        if spans:
+            for i in np.flatnonzero(hits):
+                own = p[offsets[i] : offsets[i + 1]]
+                found[i] = [{"start": m.start(), "end": m.end(), "probability": float(q)} for m, q in zip(_token.finditer(texts[int(i)].as_py()), own) if q >= 0.5]
+        return scores, hits, found
+
+
 def score(docs: DataFrame, model: dict | None, spans: bool = True) -> DataFrame:
     """doc_id, score, n_toxic and, with spans, the character offsets of toxic tokens of every whole text."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_toxic", pa.int64()), ("spans", kind)])
 
     def run(batches):
-        seen: dict[str, int] = {}
-        table: list[float] = []
+        judge = Judge(model)
         for whole in batches:
             for b in base.slices(whole, "text"):
-                n = b.num_rows
-                if model is None:
-                    yield base.batch(schema, doc_id=b.column("doc_id"), score=[0.0] * n, n_toxic=[0] * n, spans=[[]] * n)
-                    continue
-                codes, words, offsets = base.split_words(b.column("text"))
-                if len(seen) > 250_000:
-                    seen.clear()
-                    table.clear()
-                weight = model["weight"]
-                at = np.empty(len(words), np.int64)
-                for i, w in enumerate(words):
-                    k = seen.get(w)
-                    if k is None:
-                        k = seen[w] = len(table)
-                        table.append(model["bias"] + sum(float(weight[f % TABLE]) for f in hashed(w)))
-                    at[i] = k
-                energy = np.array(table)[at][codes] if len(words) else np.zeros(0)
-                starts, lengths = chains(_ends(words)[codes] if len(words) else np.zeros(0, bool), offsets)
-                p = forward_backward(energy, starts, lengths, model["start"], model["trans"])
-                evidence = summed(p, offsets)
-                a, b1, b2 = model["score"]
-                scores = 1 / (1 + np.exp(-np.clip(a + evidence @ np.array([b1, b2]), -30, 30)))
-                hit = np.concatenate([[0], np.cumsum(p >= 0.5)])
-                hits = hit[offsets[1:]] - hit[offsets[:-1]]
-                found: list = [[]] * n
-                if spans:
-                    for i in np.flatnonzero(hits):
-                        text, own = b.column("text")[int(i)].as_py(), p[offsets[i] : offsets[i + 1]]
-                        found[i] = [{"start": m.start(), "end": m.end(), "probability": float(q)} for m, q in zip(_token.finditer(text), own) if q >= 0.5]
+                scores, hits, found = judge(b.column("text"), spans)
                 yield base.batch(schema, doc_id=b.column("doc_id"), score=scores, n_toxic=hits, spans=found)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return base.arrow_map(rows, run, f"doc_id long, score double, n_toxic long, spans {SPANS}")
 
 
+def without_toxic(docs: DataFrame, model: dict | None, threshold: float = 0.7) -> DataFrame:
+    """docs without the rows that score the threshold or more; all columns as they are, no shuffle."""
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text"))
+
+    def run(batches):
+        judge = Judge(model)
+        for whole in batches:
+            for b in base.slices(whole, "text"):
+                keep = pa.array(judge(b.column("text"), False)[0] < threshold)
+                yield pa.RecordBatch.from_arrays([b.column("row").filter(keep)], names=["row"])
+
+    kept = base.arrow_map(rows, run, f"row {rows.schema['row'].dataType.simpleString()}")
+    return kept.select(*[F.col("row")[c].alias(c) for c in names])
+
+
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = base.documents(spark, sf_dir)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
