@@ -86,7 +86,7 @@ def plan(docs: DataFrame, weights=(1, 2, 3), slopes=(-0.5, 0.0, 0.5), most: int
 def position(place):
     """Training position in [0, 1] of a cumulative demand of `place` words of the source's stream."""
     share = place / F.greatest(F.col("_target"), F.lit(1.0))
-    return F.round(invert(F.least(share, F.lit(1.0)), F.col("_slope")), 9)
+    return F.round(invert(F.least(share, F.lit(1.0)), F.col("_slope")), 9) + F.lit(0.0)
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
@@ -138,6 +138,6 @@ p AS (
 q AS (SELECT *, CAST(floor(target - whole * source_size) AS BIGINT) AS rest, least(place / greatest(target, 1.0::DOUBLE), 1.0::DOUBLE) AS u FROM p),
 z AS (SELECT *, least(whole * size + least(greatest(rest - place, 0), size), 3 * size) AS take FROM q)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(take AS BIGINT) AS taken,
-  CASE WHEN take > 0 THEN round(CASE WHEN abs(a) < 1e-9 THEN u ELSE (sqrt((1 - a) * (1 - a) + 4 * a * u) - (1 - a)) / (2 * a) END, 9) END AS position
+  CASE WHEN take > 0 THEN round(CASE WHEN abs(a) < 1e-9 THEN u ELSE (sqrt((1 - a) * (1 - a) + 4 * a * u) - (1 - a)) / (2 * a) END, 9) + 0.0 END AS position
 FROM z
 """
