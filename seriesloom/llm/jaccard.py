@@ -266,6 +266,20 @@ def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return joined.select(F.when(F.col("d") != base.NO_ID, F.col("d")).alias("doc_id"), "class_id", "n_links")
 
 
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, sh FROM (SELECT rid, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS sh FROM d)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+l AS (SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 9 * c >= 4 * (a.n + b.n)),
+r AS (SELECT rid AS v, rid AS c FROM d UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.v),
+m AS (SELECT r.v, min(d.doc_id) AS class_id FROM r JOIN d ON r.c = d.rid GROUP BY r.v),
+k AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT d.doc_id, m.class_id, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links FROM d JOIN m ON m.v = d.rid LEFT JOIN k ON k.x = d.rid
+"""
+
+
 def representatives(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """docs with one row of each class: the smallest doc_id, and of rows that repeat it the first by text hash.
 

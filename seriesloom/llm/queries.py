@@ -16,4 +16,4 @@ QUERIES = {
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
-ORACLES = {"op4_mixing": mixing.OP4_SQL}
+ORACLES = {"op4_mixing": mixing.OP4_SQL, "op9_ngram_jaccard": jaccard.OP9_SQL, "op10_suffix_dedup": suffixes.OP10_SQL}

@@ -323,6 +323,22 @@ def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT rid, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+f AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+g AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) AS run
+  FROM (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM f)),
+s AS (SELECT rid, run, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY rid, run),
+c AS (SELECT rid, run, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS p FROM s),
+k AS (SELECT c.rid, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept, max(z) AS last
+  FROM c JOIN d ON c.rid = d.rid GROUP BY c.rid)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN k.rid IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k ON d.rid = k.rid
+"""
+
+
 def brute(texts: list[str | None], depth: int = DEPTH) -> list[list[tuple[int, int]]]:
     """Removed runs by a table of all windows; for tests."""
     raw = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
