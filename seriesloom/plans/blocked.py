@@ -39,8 +39,7 @@ def blocked(df: DataFrame, index: str, values: list[str], order: list[str], bloc
     number = F.unix_micros(at.cast("timestamp")) if df.schema[order[0]].dataType.typeName() in ("timestamp", "timestamp_ntz", "date") else at
     quantiles = [i / n for i in range(1, n)]
     cuts = sorted(set(df.agg(F.percentile_approx(number, quantiles, 10_000)).first()[0] or [])) if n > 1 else []
-    block = F.coalesce(sum((F.when(number > c, 1).otherwise(0) for c in cuts), F.lit(0)), F.lit(0))
-    rows = df.withColumn(BLOCK, block.cast("int"))
+    rows = df.withColumn(BLOCK, _block(number, cuts))
     starts = carried(rows, {"__start": (F.count(F.lit(1)), F.sum)})
     inner = F.row_number().over(Window.partitionBy(BLOCK).orderBy(*order)) - 1
     clean = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in values]
@@ -48,6 +47,18 @@ def blocked(df: DataFrame, index: str, values: list[str], order: list[str], bloc
     return Panel.positioned(rows.select(index, POS, BLOCK, *clean), index, values)
 
 
+def _block(number: Column, cuts: list) -> Column:
+    """How many cuts lie below the number (0 for NULL): a tree of comparisons, as deep as the logarithm of their number."""
+
+    def tree(a: int, z: int) -> Column:
+        if a == z:
+            return F.lit(a)
+        mid = (a + z) // 2
+        return F.when(number > F.lit(cuts[mid]), tree(mid + 1, z)).otherwise(tree(a, mid))
+
+    return tree(0, len(cuts)).cast("int")
+
+
 def carried(rows: DataFrame, what: dict[str, tuple[Column, object]]) -> DataFrame:
     """A row for each block: of each column, the fold over all blocks before it of the block's own aggregate."""
     own = rows.groupBy(BLOCK).agg(*[a.alias(k) for k, (a, _) in what.items()])
@@ -129,7 +140,7 @@ def asofr(x: Panel, y: Panel, blocks: int | None = None) -> Panel:
     n = blocks or int(y.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     number = F.unix_micros(F.col(y.index).cast("timestamp"))
     cuts = sorted(set(y.df.agg(F.percentile_approx(number, [i / n for i in range(1, n)], 10_000)).first()[0] or [])) if n > 1 else []
-    block = F.coalesce(sum((F.when(number > c, 1).otherwise(0) for c in cuts), F.lit(0)), F.lit(0)).cast("int")
+    block = _block(number, cuts)
     row = F.struct(*[F.col(f"`{c}`") for c in x.values])
     kind = x.df.select(row.alias("r")).schema["r"].dataType
     left = x.df.select(F.col(x.index).alias(y.index), F.lit(0).alias("__side"), POS, row.alias("__row"))
