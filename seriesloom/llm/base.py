@@ -75,10 +75,46 @@ def ship(spark: SparkSession) -> None:
     _shipped["to"] = spark.sparkContext
 
 
-def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with this package at hand on the executors."""
+#: Of a worker process: what empties the caches that outlive a task, and whose they are.
+_caches: dict[str, object] = {}
+
+
+def caching(owner: str, clear) -> None:
+    """Register a cache that only tasks of `owner` use."""
+    _caches[owner] = clear
+
+
+def _tidy(owner: str | None) -> None:
+    """Empty the caches of other operators' tasks, and give freed memory back to the system."""
+    for name, clear in list(_caches.items()):
+        if name != owner:
+            clear()
+            del _caches[name]
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps what it likes
+
+
+def arrow_map(df: DataFrame, function, schema: str, owner: str | None = None) -> DataFrame:
+    """mapInArrow with this package at hand on the executors.
+
+    Worker processes are used again by later stages, of other operators too: each task begins and ends
+    by giving back what is not its own.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        _tidy(owner)
+        try:
+            yield from function(batches)
+        finally:
+            _tidy(owner)
+
+    return df.mapInArrow(run, schema)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -113,6 +113,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One to a worker process, so that later tasks find the words of earlier ones."""
+    base.caching("tokens", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -146,4 +147,4 @@ def token_table(docs: DataFrame, end_id: int, path: str | None = None, counts: b
         if counts:
             yield base.batch(schema, part=[part], row=[-1], doc_id=[None], n=[0], ids=[None], counts=[seen.tobytes()])
 
-    return base.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, TABLE)
+    return base.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, TABLE, owner="tokens")
