@@ -41,7 +41,7 @@ ROWS = 4
 STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 500_000
-FLUSH = 1_000_000
+FLUSH = 400_000
 _seeds = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
 _found = pa.schema([("kind", pa.int32())] + [(c, pa.int64()) for c in ("d", "t", "sid", "n", "band")])
 
@@ -97,7 +97,7 @@ def described(keyed: DataFrame) -> DataFrame:
                 yield _rows(2, sid=pairs[:, 0], n=pairs[:, 1])
 
         for whole in batches:
-            for b in base.slices(whole, "text", 4 << 20):
+            for b in base.slices(whole, "text", 1 << 20):
                 data, offsets = base.bytes_of(b.column("text"))
                 h, at = shingles(data, offsets, K)
                 sid = set_ids(h, at[:-1], at[1:])
@@ -141,7 +141,7 @@ def sets(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for b in base.slices(whole, "text", 2 << 20):
+            for b in base.slices(whole, "text", 1 << 20):
                 data, offsets = base.bytes_of(b.column("text"))
                 h, at = shingles(data, offsets, K)
                 sig = signatures(h, at[:-1])
