@@ -62,7 +62,7 @@ class Encoder:
         """Drop the words as written; their lower-case cores stay."""
         self.index: dict[str, int] = {}
         self.pieces = array("H")
-        self.lengths = array("H")
+        self.lengths = array("I")  # a text without white space is one word, however long
         self.starts = array("I")
 
     def _full(self, word: str) -> list[int]:

@@ -35,6 +35,14 @@ def test_words_give_the_ids_of_whole_texts(tokenizer):
     assert len(e.encode_texts(pa.array([], pa.string()))[0]) == 0
 
 
+def test_a_word_may_have_more_ids_than_16_bits_count(tokenizer):
+    long = "漢字仮名" * 12000
+    want = tokenizer.encode(long, add_special_tokens=False).ids
+    assert len(want) > 65535
+    ids, at = tokens.Encoder(tokens.tokenizer_path()).encode_texts(pa.array(["a", long, f"b {long}"]))
+    assert ids[at[1] : at[2]].tolist() == want and len(ids) == at[3]
+
+
 def test_codes_are_optimal_limited_and_prefix_free():
     import heapq
 
