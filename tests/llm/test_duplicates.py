@@ -206,3 +206,14 @@ def test_alignment_of_runs():
     x, y, same = passages.gap_columns(a, b, shifts=True)
     assert same.sum() == 4 and sorted(x[x >= 0]) == list(range(5)) and sorted(y[y >= 0]) == list(range(5))
     assert passages.gap_columns(a, a[:0])[2].tolist() == [False] * 5
+
+
+def test_texts_without_id_are_told_apart_by_all_of_their_hash(documents):
+    import xxhash
+
+    low = lambda t: xxhash.xxh64_intdigest(t, 42) & 0xFFFF
+    passage = " ".join(f"p{i}" for i in range(70))
+    one = "begin " + passage
+    two = next(t for t in (f"{passage} end{i}" for i in range(10_000_000)) if low(t) == low(one))
+    cut = passages.without_passages(documents([(None, one), (None, two)])).collect()
+    assert sum("p35" in r.text for r in cut) == 1
