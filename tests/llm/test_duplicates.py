@@ -217,3 +217,8 @@ def test_texts_without_id_are_told_apart_by_all_of_their_hash(documents):
     two = next(t for t in (f"{passage} end{i}" for i in range(10_000_000)) if low(t) == low(one))
     cut = passages.without_passages(documents([(None, one), (None, two)])).collect()
     assert sum("p35" in r.text for r in cut) == 1
+
+
+def test_a_long_segment_far_behind_does_not_hide_a_near_one():
+    x0, x1, y0 = (np.array(v) for v in ([0, 600, 631], [500, 630, 661], [0, 600, 630]))
+    assert sorted(passages.chain(x0, x1, y0)) == [[0], [1, 2]]
