@@ -222,3 +222,25 @@ def test_texts_without_id_are_told_apart_by_all_of_their_hash(documents):
 def test_a_long_segment_far_behind_does_not_hide_a_near_one():
     x0, x1, y0 = (np.array(v) for v in ([0, 600, 631], [500, 630, 661], [0, 600, 630]))
     assert sorted(passages.chain(x0, x1, y0)) == [[0], [1, 2]]
+
+
+def test_the_longest_range_that_is_equal_enough():
+    a = np.arange(62)
+    b = np.where((a >= 40) & (a < 46), a + 1000, a)
+    assert passages.align(a, 0, b, 0, np.array([[0, 40, 0], [46, 62, 46]])) == [(0, 62, 0, 62, 56, 62)]
+    c = np.where(np.arange(59) % 13 == 12, np.arange(59) + 1000, np.arange(59))  # runs of 12, of which one has a seed
+    assert passages.align(np.arange(59), 0, c, 0, np.array([[15, 21, 15]])) == [(0, 59, 0, 59, 55, 59)]
+    r = random.Random(7)
+    for _ in range(300):
+        same = np.array([r.random() < 0.82 for _ in range(r.randint(40, 90))])
+        word = np.array([s or r.random() < 0.8 for s in same])
+        n = len(same)
+        fits = lambda i, j: same[i] and same[j - 1] and word[i:j].sum() >= 50 and 5 * same[i:j].sum() >= 4 * (j - i)
+        got = passages.longest(same, word)
+        assert (got is not None) == any(fits(i, j) for i in range(n) for j in range(i + 1, n + 1))
+        assert got is None or fits(*got)
+
+
+def test_chains_of_one_seed_are_aligned(spark):
+    links = spark.createDataFrame([(2, 0, 15, 1, 0, 15)], "d long, t long, pos long, rd long, rt long, rpos long")
+    assert [(r.lo, r.hi) for r in passages.chains(links).collect()] == [(15, 21)]
