@@ -244,3 +244,14 @@ def test_the_longest_range_that_is_equal_enough():
 def test_chains_of_one_seed_are_aligned(spark):
     links = spark.createDataFrame([(2, 0, 15, 1, 0, 15)], "d long, t long, pos long, rd long, rt long, rpos long")
     assert [(r.lo, r.hi) for r in passages.chains(links).collect()] == [(15, 21)]
+
+
+def test_all_copies_in_the_first_holder_of_a_task_are_found(spark):
+    r = random.Random(8)
+    fresh = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    p = fresh(70)
+    rows = [(1, f"{fresh(9)} {p} {fresh(9)}"), (2, f"{fresh(30)} {p} {fresh(200)} {p} {fresh(30)}")]
+    for parts in (1, 2):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+        got = sorted((x.d, x.start, x.end) for x in passages.passages(docs).collect())
+        assert got == [(2, 30, 100), (2, 300, 370)]
