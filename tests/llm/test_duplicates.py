@@ -255,3 +255,18 @@ def test_all_copies_in_the_first_holder_of_a_task_are_found(spark):
         docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
         got = sorted((x.d, x.start, x.end) for x in passages.passages(docs).collect())
         assert got == [(2, 30, 100), (2, 300, 370)]
+
+
+def test_passages_of_parts_that_stand_alone_elsewhere(spark):
+    r = random.Random(9)
+    fresh = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    lines, halves = [fresh(40) for _ in range(3)], [fresh(25) for _ in range(2)]
+    rows = [(i + 1, f"{fresh(20)} {x} {fresh(20)}") for i, x in enumerate(lines + halves)]
+    rows += [(100, f"{fresh(30)} {' '.join(lines)} {fresh(30)}"), (200, f"{fresh(60)} {' '.join(lines)} {fresh(5)}")]
+    rows += [(300, f"{fresh(30)} {' '.join(halves)} {fresh(30)}"), (400, f"{fresh(60)} {' '.join(halves)} {fresh(5)}")]
+    for parts in (1, 4):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+        words = collections.defaultdict(set)
+        for x in passages.passages(docs).collect():
+            words[x.d, x.rd] |= set(range(x.start, x.end))
+        assert words == {(200, 100): set(range(60, 180)), (400, 300): set(range(60, 110))}
