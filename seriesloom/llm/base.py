@@ -130,7 +130,7 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a, f.type) for f, a in ((f, columns[f.name]) for f in schema)], schema=schema)
 
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """ASCII white-space words of a batch of texts, as indices into the distinct words.
 
     Returns (codes of all words, distinct words, word offsets of each text: one more than texts).
@@ -144,13 +144,21 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
         offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
         flat = flat.filter(pa.array(full))
     coded = flat.dictionary_encode()
-    words = coded.dictionary
-    if len(words):  # one string is far cheaper to hand over than its words, which hold no line feed
-        whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
-        distinct = pc.binary_join(whole, "\n")[0].as_py().split("\n")
-    else:
-        distinct = []
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), distinct, offsets
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, offsets
+
+
+def strings(words: pa.Array) -> list[str]:
+    """Words without line feeds as Python strings: one string is far cheaper to hand over than its words."""
+    if not len(words):
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
+    return pc.binary_join(whole, "\n")[0].as_py().split("\n")
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """coded_words() with the distinct words as Python strings."""
+    codes, words, offsets = coded_words(texts)
+    return codes, strings(words), offsets
 
 
 def slices(record: pa.RecordBatch, column: str, most: int = 8 << 20):

@@ -26,8 +26,9 @@ from .tokens import SIZE, token_table
 BITS = 16
 BLOCK = 1 << 19
 STRIDE = 512
+MOST_PARTS = 500_000  # rows of two numbers that may be broadcast
 END = 2
-BLOCKS = "part int, block int, first long, doc_ids array<long>, lengths array<long>, offsets binary, bits binary"
+BLOCKS = "part int, first long, doc_ids array<long>, lengths array<long>, offsets binary, bits binary"
 
 
 def code_lengths(counts: np.ndarray, limit: int = BITS) -> np.ndarray:
@@ -154,35 +155,30 @@ def write(docs: DataFrame, end_id: int = END) -> tuple[DataFrame, DataFrame]:
     lengths = code_lengths(counts)
     code = base.stored(spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary"), "huffman-code")
     codes = canonical(lengths)
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("offsets", pa.binary()), ("bits", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("offsets", pa.binary()), ("bits", pa.binary())])
 
     def run(batches):
         held: list[tuple] = []
-        state = {"part": None, "block": 0, "first": 0, "ids": 0}
+        size = 0
 
         def flush():
-            ids = np.frombuffer(b"".join(h[2] for h in held), np.uint16)
+            ids = np.frombuffer(b"".join(h[-1] for h in held), np.uint16)
             offsets, bits = encode(ids, codes, lengths)
-            b = base.batch(schema, part=[state["part"]], block=[state["block"]], first=[state["first"]], doc_ids=[[h[0] for h in held]], lengths=[[h[1] for h in held]], offsets=[offsets], bits=[bits])
-            state.update(block=state["block"] + 1, first=state["first"] + len(ids), ids=0)
-            held.clear()
-            return b
+            return base.batch(schema, part=[held[0][0]], first=[held[0][2]], doc_ids=[[h[3] for h in held]], lengths=[[h[4] for h in held]], offsets=[offsets], bits=[bits])
 
         for b in batches:
-            for part, doc, n, ids in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "n", "ids"))):
-                if held and (part != state["part"] or state["ids"] + n > BLOCK):
+            for row in zip(*(b.column(c).to_pylist() for c in names)):
+                # a block is any run of documents that follow each other: a part's rows may be read by several tasks
+                if held and (row[:2] != (held[-1][0], held[-1][1] + 1) or size + row[4] > BLOCK):
                     yield flush()
-                if part != state["part"]:
-                    state.update(part=part, block=0, first=0)
-                held.append((doc, n, ids))
-                state["ids"] += n
+                    held, size = [], 0
+                held.append(row)
+                size += row[4]
         if held:
             yield flush()
 
-    rows = tokens.where("ids is not null").select("part", "row", "doc_id", "n", "ids")
-    # a part's rows may be read in pieces, by several tasks: bring each part together in its order
-    rows = rows.repartition(base.partitions(spark), "part").sortWithinPartitions("part", "row")
-    return code, base.stored(base.arrow_map(rows, run, BLOCKS), "huffman-blocks", codec="uncompressed")
+    names = ("part", "row", "at", "doc_id", "n", "ids")
+    return code, base.stored(base.arrow_map(tokens.where("ids is not null").select(*names), run, BLOCKS), "huffman-blocks", codec="uncompressed")
 
 
 def read(code: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -190,7 +186,9 @@ def read(code: DataFrame, blocks: DataFrame) -> DataFrame:
     lengths = np.frombuffer(bytes(code.first()["lengths"]), np.uint8)
     symbol, size = table(lengths)
     sums = blocks.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("own"))
-    before = sums.withColumn("before", F.coalesce(F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("own")
+    before = base.stored(sums.withColumn("before", F.coalesce(F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("own"), "huffman-parts")
+    if before.count() <= MOST_PARTS:
+        before = F.broadcast(before)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
@@ -204,7 +202,7 @@ def read(code: DataFrame, blocks: DataFrame) -> DataFrame:
                     blob = pa.array([raw[4 * x : 4 * y] for x, y in zip(starts, ends)], pa.binary())
                     yield base.batch(schema, doc_id=r["doc_ids"], start=starts + r["first"] + r["before"], n_tokens=r["lengths"], ids=blob)
 
-    return base.arrow_map(blocks.join(F.broadcast(before), "part"), run, "doc_id long, start long, n_tokens long, ids binary")
+    return base.arrow_map(blocks.join(before, "part"), run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op8_huffman(spark, sf_dir: str) -> DataFrame:
