@@ -256,9 +256,9 @@ def join(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     ids = per_text.where("n > 0").groupBy("sid").agg(F.min(F.when(F.col("d") != base.NO_ID, F.col("d"))).alias("low_id"))
     names = nodes.join(ids, "sid").groupBy("class").agg(F.min("low_id").alias("class_id"))
     nodes = nodes.join(names, "class").select("sid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.col("class"))
-    return per_text.join(nodes, "sid", "left").select(
-        "d", "t", F.when(F.col("class").isNull(), F.when(F.col("d") != base.NO_ID, F.col("d"))).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "class"
-    )
+    # texts without words are no nodes: however many there are, they meet in no join
+    bare = per_text.where("n = 0").select("d", "t", F.when(F.col("d") != base.NO_ID, F.col("d")).alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("class"))
+    return per_text.where("n > 0").join(nodes, "sid").select("d", "t", "class_id", F.col("n_links").cast("long").alias("n_links"), "class").unionByName(bare)
 
 
 def op9_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
