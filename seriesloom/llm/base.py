@@ -90,6 +90,11 @@ def _tidy(owner: str | None) -> None:
         if name != owner:
             clear()
             del _caches[name]
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         import ctypes

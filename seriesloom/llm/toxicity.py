@@ -111,18 +111,29 @@ def marked(hashes: np.ndarray, sized: np.ndarray, codes: list[np.ndarray], toxic
     support a feature once.
     """
     names = hashes[:, : KINDS - 2]
-    clean, pairs = [], []
+    none = np.zeros(0, np.uint64)
+    seen, many, clean, pairs = none, np.zeros(0), [], []
+
+    def counted():
+        """Merge what the clean documents met lately add to the counts."""
+        nonlocal seen, many
+        own, n = np.unique(np.concatenate([*clean, none]), return_counts=True)
+        seen, at = np.unique(np.concatenate([seen, own]), return_inverse=True)
+        many = np.bincount(at, np.concatenate([many, n]), minlength=len(seen))
+        clean.clear()
+
     for own, y in zip(codes, toxic):
         own = np.unique(own)
         kinds = np.unique(names[own[sized[own]]])
         if not y:
             clean.append(kinds)
+            if len(clean) == 200:
+                counted()
             continue
         first = hashes[own, 0]
         same = [int((first * np.uint64(k) & np.uint64(0xFFFFFFFF)).min(initial=0xFFFFFFFF)) for k in (2654435761, 2246822519, 3266489917)]
         pairs.append((kinds, same))
-    none = np.zeros(0, np.uint64)
-    seen, many = np.unique(np.concatenate([*clean, none]), return_counts=True)
+    counted()
     support: np.ndarray | None = None
     for i in range(3):
         both = np.unique(np.concatenate([*(k << np.uint64(32) | np.uint64(s[i]) for k, s in pairs), none]))
@@ -149,12 +160,16 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float, epochs: int =
     if not toxic.any() or toxic.all():
         return None
     flat, words, bounds = base.split_words(pa.array(texts, pa.large_string()))
+    flat = flat.astype(np.int32)
+    base.trim()
     tokens = [flat[i:j] for i, j in zip(bounds[:-1], bounds[1:])]
     hashes = np.fromiter((h for w in words for h in hashed(w)), np.uint64, len(words) * KINDS).reshape(len(words), KINDS)
     sized = np.array([len(_edge.sub("", w)) > 2 for w in words], bool)
     marks = marked(hashes, sized, tokens, toxic)
-    table = (hashes % np.uint64(TABLE)).astype(np.int64)
+    table = (hashes % np.uint64(TABLE)).astype(np.int32)
     ending = _ends(words)
+    del hashes, words, flat
+    base.trim()
     weight, moved = np.zeros(TABLE), np.full(TABLE, 1e-2)
     bias, start, trans = -4.0, 0.0, np.zeros((2, 2))
     small = np.full(6, 1e-2)
@@ -166,12 +181,12 @@ def train(texts: list[str], toxic: np.ndarray, toxic_share: float, epochs: int =
         y = np.concatenate([marks[tokens[i]] & toxic[i] for i in g])
         offsets = np.cumsum([0] + [len(tokens[i]) for i in g])
         own, local = np.unique(codes, return_inverse=True)
-        ready.append((local, y.astype(float), *chains(ending[codes], offsets), table[own], offsets))
+        ready.append((local.astype(np.int32), y, *chains(ending[codes], offsets), table[own], offsets))
     for _ in range(epochs):
         for codes, y, starts, lengths, own, _ in ready:
             if not len(codes):
                 continue
-            energy = bias + weight[own].sum(1)[codes]
+            y, energy = y.astype(float), bias + weight[own].sum(1)[codes]
             p, expected = forward_backward(energy, starts, lengths, start, trans, pairs=True)
             inner = np.ones(len(y), bool)
             inner[starts] = False
@@ -238,9 +253,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> dict | No
     picked = [r for toxic, most in ((1, max_fit), (0, 2 * max_fit)) for r in known.where(F.col("toxic") == toxic).orderBy(F.md5(F.col("doc_id").cast("string"))).limit(most).collect()]
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in picked], "doc_id long, toxic int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base.text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows], bool), n1 / (n1 + n0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base.text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # one of the rows that repeat an id
+    rows.sort(key=lambda r: r["doc_id"])
+    model = train([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows], bool), n1 / (n1 + n0))
+    del rows
+    base.trim()
+    return model
 
 
 class Judge:
