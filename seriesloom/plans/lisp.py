@@ -20,10 +20,10 @@ from ..sources import csvfile
 TOKENS = {
     "+": "add", "-": "sub", "*": "mul", "/": "div", ">": "gt", "<": "lt", ">=": "ge", "<=": "le", "==": "eq", "!=": "ne",
     "log": "log", "exp": "exp", "sqrt": "sqrt", "abs": "abs", "inv": "inv", "inc": "inc", "dec": "dec", "chop": "chop",
-    "dlog": "dlog", "dlog-obs": "dlog", "dlog-ofs": "dlog_ofs", "dlog-cols": "dlog_ofs", "ret": "ret", "locf": "locf",
+    "dlog": "dlog", "dlog-obs": "dlog", "dlog-ofs": "dlog_ofs", "dlog-col": "dlog", "dlog-cols": "dlog_ofs", "ret": "ret", "locf": "locf",
     "locf-cols": "locf", "shift": "shift", "shift-col": "shift", "shift-cols": "shift", "lag-obs": "lag_obs", "shift-obs": "lag_obs",
     "diff": "diff", "diff-col": "diff", "diff-cols": "diff", "keep": "keep", "keep-shape": "keep", "keep-shape-cols": "keep",
-    "cs1": "cs1", "cs1-col": "cs1_carry", "cs1-cols": "cs1_carry", "ecs1": "ecs1", "ecs1-cols": "ecs1", "ecs1-col": "ecs1",
+    "cs1": "cs1", "cs1-col": "cs1", "cs1-cols": "cs1_carry", "ecs1": "ecs1", "ecs1-cols": "ecs1", "ecs1-col": "ecs1",
     "rolling-mean": "rolling_mean", "rolling-std": "rolling_std", "rolling-mean-min2": "rolling_mean_min2",
     "rolling-std-min2": "rolling_std_min2", "rolling-zscore": "rolling_zscore", "wzs": "wzs", "ft-mean": "ft_mean",
     "ft-std": "ft_std", "ft-zscore": "ft_zscore", "ur": "ur", "ur-col": "ur_step", "ur-cols": "ur_step", "wz0": "wz0_next",
@@ -175,7 +175,10 @@ class Session:
             raise NameError(f"{name} is no function of {args!r}")
         if name not in TOKENS:
             raise NameError(f"no operator {name}")
-        rest = [_plain(a) for a in args if a is not panels[0]]
+        first = next(i for i, a in enumerate(args) if isinstance(a, Panel))
+        if first and name in _NUMBERS:
+            raise TypeError(f"({name} ...) takes its panel first")
+        rest = [_plain(a) for i, a in enumerate(args) if i != first]
         if name == "withcol":
             rest[1] = TOKENS.get(rest[1], rest[1])
         return OPERATORS[TOKENS[name]](panels[0], *rest)

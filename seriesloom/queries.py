@@ -1,6 +1,7 @@
 """One query for each operator over the events table, and the SQL that gives the same rows.
 
-Values are rounded to six places: sums may be taken in another order. Missing values are put in by
+Values are rounded to six places: sums may be taken in another order. Skewness and kurtosis are rounded to three, as
+third and fourth powers of deviations lose as many digits again. Missing values are put in by
 event_id, the same way on both sides.
 """
 
@@ -35,16 +36,16 @@ def rounded(x: Column) -> Column:
     return F.round(x, 6) + F.lit(0.0)
 
 
-def shown(p: Panel, places: int = 6) -> DataFrame:
-    return p.df.select(*p.keys, F.col("__pos").alias("pos"), *[(F.round(F.col(f"`{c}`"), places) + F.lit(0.0)).alias(c) for c in p.values])
+def shown(p: Panel, places: dict[str, int] | None = None) -> DataFrame:
+    return p.df.select(*p.keys, F.col("__pos").alias("pos"), *[(F.round(F.col(f"`{c}`"), (places or {}).get(c, 6)) + F.lit(0.0)).alias(c) for c in p.values])
 
 
-def sql_shown(columns_: dict[str, str], source: str = "e", before: str = "", places: int = 6, where: str = "") -> str:
-    cells = ", ".join(f'round({v}, {places}) + 0.0 AS "{k}"' for k, v in columns_.items())
+def sql_shown(columns_: dict[str, str], source: str = "e", before: str = "", places: dict[str, int] | None = None, where: str = "") -> str:
+    cells = ", ".join(f'round({v}, {(places or {}).get(k, 6)}) + 0.0 AS "{k}"' for k, v in columns_.items())
     return f"WITH {EVENTS}{', ' + before if before else ''} SELECT event_type, pos, {cells} FROM {source}{' WHERE ' + where if where else ''}"
 
 
-def series(name: str, f: Callable[[Panel], Panel], sql: str | dict[str, str], source: str = "e", before: str = "", names: tuple[str, ...] = ("x",), places: int = 6) -> None:
+def series(name: str, f: Callable[[Panel], Panel], sql: str | dict[str, str], source: str = "e", before: str = "", names: tuple[str, ...] = ("x",), places: dict[str, int] | None = None) -> None:
     """Register f over event values by event type."""
     QUERIES[name] = lambda spark, sf_dir: shown(f(tables.events(spark, sf_dir, names=names)), places)
     SQL[name] = sql_shown({"x": sql} if isinstance(sql, str) else sql, source, before, places)
@@ -181,11 +182,11 @@ _M = f"s AS (SELECT *, avg(x) OVER {past(20)} AS m, stddev_samp(x) OVER {past(20
 series(
     "ft_wmoments", lambda p: p.ft_wmoments(20, 10),
     {"x_mean": "CASE WHEN n >= 10 THEN m END", "x_std": "CASE WHEN n >= 10 THEN sd END", "x_skew": "CASE WHEN n >= 10 THEN sk * (n - 2) / sqrt(n * (n - 1.0)) END", "x_kurt": "CASE WHEN n >= 10 THEN ku END", "x_count": "CASE WHEN n >= 10 THEN CAST(n AS DOUBLE) END"},
-    "s", _M, places=3,
+    "s", _M, places={"x_skew": 3, "x_kurt": 3},
 )
-for _name, _m in (("ft_wmean", "m"), ("ft_wstd", "sd")):
+for _name, _m in (("ft_wmean", "m"), ("ft_wstd", "sd"), ("ft_wskew", "sk * (n - 2) / sqrt(n * (n - 1.0))"), ("ft_wkurt", "ku")):
     _c = "x_" + _name[4:]
-    series(_name, lambda p, n=_name: getattr(p, n)(20, 10), {_c: f"CASE WHEN n >= 10 THEN {_m} END"}, "s", _M)
+    series(_name, lambda p, n=_name: getattr(p, n)(20, 10), {_c: f"CASE WHEN n >= 10 THEN {_m} END"}, "s", _M, places={"x_wskew": 3, "x_wkurt": 3, "x_skew": 3, "x_kurt": 3})
 series("zscore", lambda p: p.zscore(), safe("x - mu", "sd"), "s", "s AS (SELECT *, avg(x) OVER (PARTITION BY event_type) AS mu, stddev_samp(x) OVER (PARTITION BY event_type) AS sd FROM e)")
 
 # -- masks and calendar
@@ -221,29 +222,30 @@ SQL["mask_stats"] = f"WITH {EVENTS}, m AS (SELECT {OFF} OR coalesce(x < 20, fals
 # -- alignment
 
 
-def _days(spark: SparkSession, sf_dir: str, every: int = 1) -> Panel:
+def _days(spark: SparkSession, sf_dir: str) -> Panel:
     """Days with orders; the index of an aligned panel."""
     days = tables.table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"), "o_totalprice").groupBy("day").agg(F.sum("o_totalprice").alias("total"))
-    return Panel.of(days.where(F.dayofyear("day") % every == 0), "day", ["total"])
+    return Panel.of(days, "day", ["total"])
 
 
 def _event_days(spark: SparkSession, sf_dir: str) -> Panel:
-    """Several rows a day: the last one counts."""
-    df = tables.table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey % 3 = 0").select(F.col("l_shipdate").cast("date").alias("day"), "l_orderkey", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_quantity")).alias("x"))
-    return Panel.of(df, "day", ["x"], order=["l_orderkey", "x"])
+    """All lines by the Monday of their week, so that most days have none: many rows a day, of which the last one counts."""
+    monday = F.date_trunc("week", "l_shipdate").cast("date").alias("day")
+    df = tables.table(spark, sf_dir, "lineitem").select(monday, "l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_quantity")).alias("x"))
+    return Panel.of(df, "day", ["x"], order=["l_orderkey", "l_linenumber", "x"])
 
 
 def _shown_days(p: Panel) -> DataFrame:
     return p.df.select(F.col(p.index).cast("string").alias("day"), F.col("__pos").alias("pos"), *[rounded(F.col(f"`{c}`")).alias(c) for c in p.values])
 
 
-_DAYS = """x AS (SELECT day, k, CASE WHEN k % 7 <> 0 THEN q END AS x FROM (SELECT CAST(l_shipdate AS DATE) AS day, l_orderkey AS k, l_quantity AS q FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0)),
-l AS (SELECT day, x, true AS hit FROM x QUALIFY row_number() OVER (PARTITION BY day ORDER BY k DESC, x DESC NULLS LAST) = 1),
-y AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders) WHERE dayofyear(day) % {0} = 0)"""
+_DAYS = """x AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS day, l_orderkey AS k, l_linenumber AS n, CASE WHEN l_orderkey % 7 <> 0 THEN l_quantity END AS x FROM lineitem),
+l AS (SELECT day, x, true AS hit FROM x QUALIFY row_number() OVER (PARTITION BY day ORDER BY k DESC, n DESC, x DESC NULLS LAST) = 1),
+y AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders))"""
 QUERIES["mapr"] = lambda spark, sf_dir: _shown_days(_event_days(spark, sf_dir).mapr(_days(spark, sf_dir)))
-SQL["mapr"] = f"WITH {_DAYS.format(1)} SELECT CAST(y.day AS VARCHAR) AS day, y.pos, round(l.x, 6) + 0.0 AS x FROM y LEFT JOIN l ON y.day IS NOT DISTINCT FROM l.day"
-QUERIES["asofr"] = lambda spark, sf_dir: _shown_days(_event_days(spark, sf_dir).asofr(_days(spark, sf_dir, 5)))
-SQL["asofr"] = f"WITH {_DAYS.format(5)} SELECT CAST(y.day AS VARCHAR) AS day, y.pos, round(l.x, 6) + 0.0 AS x FROM y ASOF LEFT JOIN l ON y.day >= l.day"
+SQL["mapr"] = f"WITH {_DAYS} SELECT CAST(y.day AS VARCHAR) AS day, y.pos, round(l.x, 6) + 0.0 AS x FROM y LEFT JOIN l ON y.day IS NOT DISTINCT FROM l.day"
+QUERIES["asofr"] = lambda spark, sf_dir: _shown_days(_event_days(spark, sf_dir).asofr(_days(spark, sf_dir)))
+SQL["asofr"] = f"WITH {_DAYS} SELECT CAST(y.day AS VARCHAR) AS day, y.pos, round(l.x, 6) + 0.0 AS x FROM y ASOF LEFT JOIN l ON y.day >= l.day"
 
 
 def _asof_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,7 +318,7 @@ one("blocked_cs1", blocked.cs1, f"CASE WHEN x IS NOT NULL THEN 1 + sum(x) OVER {
 one("blocked_shift", lambda p: blocked.shift(p, 5), f"lag(x, 5) OVER ({PART})")
 one("blocked_rolling_mean", lambda p: blocked.rolling_mean(p, 20, 500), "CASE WHEN c >= 20 THEN mu END", "b", obs(20))
 one("blocked_rolling_std", lambda p: blocked.rolling_std(p, 20, 500), "CASE WHEN c >= 20 THEN sd END", "b", obs(20))
-QUERIES["blocked_asofr"] = lambda spark, sf_dir: _shown_days(blocked.asofr(_event_days(spark, sf_dir), _days(spark, sf_dir, 5)))
+QUERIES["blocked_asofr"] = lambda spark, sf_dir: _shown_days(blocked.asofr(_event_days(spark, sf_dir), _days(spark, sf_dir)))
 SQL["blocked_asofr"] = SQL["asofr"]
 
 # -- the front end and the flagship

@@ -4,9 +4,11 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from seriesloom.frame import Panel
 from seriesloom.operators.columns import make_col
+from seriesloom.plans import lisp
 
 NAN = float("nan")
 INF = float("inf")
@@ -165,3 +167,26 @@ def test_laws(spark):
 def test_rows_not_named_by_order(spark):
     df = spark.createDataFrame([(2, 20.0), (1, 10.0), (3, 30.0)], "t int, x double").repartition(3)
     assert values(Panel.of(df, "t", ["x"]).shift(1)) == [None, 10, 20]
+
+
+def test_named_masks_of_two_panels(spark):
+    rows = spark.createDataFrame([(i, float(i)) for i in range(6)], "t long, x double")
+    p = Panel.of(rows, "t", ["x"])
+    a, b = p.define("low", F.col("x") < 2), p.define("high", F.col("x") > 3)
+    both = a.add(b)
+    assert both.masks == ("low", "high")
+    assert {(r["name"], r["masked"]) for r in both.mask_list().collect()} == {("low", 2), ("high", 2)}
+    assert [r["x"] for r in both.df.orderBy("__pos").collect()] == [0.0, 2.0, 4.0, 6.0, 8.0, 10.0]
+    assert a.add(a).mask_list().collect()[0]["masked"] == 2
+    with pytest.raises(Exception, match="masks low of two panels differ"):
+        a.add(p.define("low", F.col("x") < 3)).mask_list().collect()
+
+
+def test_the_panel_stands_first_in_forms(spark):
+    rows = spark.createDataFrame([(i, float(i)) for i in range(3)], "t long, x double")
+    s = lisp.Session(spark, x=Panel.of(rows, "t", ["x"]))
+    value = lambda form: [r["x"] for r in s.run(form).df.orderBy("__pos").collect()]
+    assert value("(- x x)") == [0.0, 0.0, 0.0] and value("(- x 10)") == [-10.0, -9.0, -8.0] and value("(cs1-col x)") == [1.0, 2.0, 4.0]
+    for form in ("(- 10 x)", "(/ 1 x)", "(> 0 x)"):
+        with pytest.raises(TypeError):
+            s.run(form)
