@@ -16,6 +16,12 @@ def test_article_without_boilerplate():
     assert text(html) == "Head & line\nOne <two> three four\nFive\na\nb\nx\ny"
 
 
+def test_names_of_the_articles_own_parts():
+    html = """<article><div class="entry-header"><h1>Title</h1></div><section id="related-work"><p>Earlier.</p></section><div class="side-by-side"><p>Body</p></div>
+    <div class="post-content has-sidebar-left"><p>More</p></div><div class="shareButtons">share</div><div class="x comments-list">they say</div><p>End</p></article>"""
+    assert text(html) == "Title\nEarlier.\nBody\nMore\nEnd"
+
+
 def test_odd_pages():
     assert text("") == "" and text("plain   text") == "plain text" and text("<p>a") == "a"
     assert text("<div>a</span></div>b</p>c") == "a\nbc"
