@@ -20,7 +20,7 @@ OPERATORS = {
     "rolling_mean_excl": rolling.rolling_mean_excl, "rolling_std_excl": rolling.rolling_std_excl,
     "rolling_zscore": rolling.rolling_zscore, "wzs": rolling.wzs, "ft_mean": rolling.ft_mean, "ft_std": rolling.ft_std,
     "ft_zscore": rolling.ft_zscore, "ur": rolling.ur, "ur_step": rolling.ur_step, "wz0": rolling.wz0,
-    "wz0_next": rolling.wz0_next, "wzs_step": rolling.wzs_step, "wstd": rolling.wstd, "wstd0": rolling.wstd0,
+    "wz0_next": rolling.wz0_next, "wzs_step": rolling.wzs_step, "wmean": rolling.wmean, "wmean0": rolling.wmean0, "wstd": rolling.wstd, "wstd0": rolling.wstd0,
     "wv": rolling.wv, "wq": rolling.wq, "ft_wmoments": rolling.ft_wmoments, "ft_wmean": rolling.ft_wmean,
     "ft_wstd": rolling.ft_wstd, "ft_wskew": rolling.ft_wskew, "ft_wkurt": rolling.ft_wkurt, "zscore": rolling.zscore,
     # masks and calendar

@@ -190,3 +190,24 @@ def test_the_panel_stands_first_in_forms(spark):
     for form in ("(- 10 x)", "(/ 1 x)", "(> 0 x)"):
         with pytest.raises(TypeError):
             s.run(form)
+
+
+def test_wide_windows_equal_narrow_ones(spark, monkeypatch):
+    from seriesloom.operators import rolling
+
+    given = [None, 4.0, 1.0, None, 9.0, 2.0, 2.0, INF, 3.0, None, 8.0, 5.0, 7.0, 1.0, 6.0, None, 2.0]
+    p = column(spark, *given)
+    p = p.define("some", F.col(p.values[0]) == 2.0).with_mask("some")
+    for w in (2, 3, 5):
+        for op in ("rolling_mean", "rolling_std", "rolling_mean_min2", "rolling_std_excl", "rolling_zscore", "ft_zscore", "ur"):
+            out = []
+            for wide in (1, 100):
+                monkeypatch.setattr(rolling, "WIDE", wide)
+                out.append(values(getattr(p, op)(w)))
+            assert close(*out), (op, w)
+
+
+def test_scores_of_a_whole_series_by_null_keys_too(spark):
+    rows = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 3.0), (None, 1, 5.0), (None, 2, 9.0)], "k string, t int, x double")
+    p = Panel.of(rows, "t", ["x"], ["k"]).zscore()
+    assert sorted(round(r["x"], 6) for r in p.df.collect()) == [-0.707107, -0.707107, 0.707107, 0.707107]
