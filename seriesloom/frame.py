@@ -9,7 +9,8 @@ Every operator returns a new Panel over a lazy DataFrame: Catalyst sees the whol
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,20 @@ from pyspark.sql import functions as F
 POS = "__pos"
 ACTIVE = "__active"
 MASK = "__mask_"
+#: Columns that operators carry along untouched while another panel's steps are taken on the same rows.
+HIDDEN = "__h"
+#: Operators whose result has other rows than their panel.
+NEW_ROWS = ("where", "wkd_filter", "file_head", "asofr", "long")
+_serial = count()
+
+
+@dataclass(frozen=True)
+class Step:
+    """One operator called on a panel: what it does, and the panel before it."""
+
+    token: object
+    act: Callable[[Panel], Panel]
+    before: Panel
 
 
 @dataclass(frozen=True)
@@ -27,6 +42,9 @@ class Panel:
     keys: tuple[str, ...] = ()
     masks: tuple[str, ...] = ()
     orientation: str = "H"
+    #: The rows this panel was made of, and the operators called on them since: panels of the same rows meet without a join.
+    root: object = field(default_factory=object, compare=False, repr=False)
+    steps: tuple[Step, ...] = field(default=(), compare=False, repr=False)
 
     @classmethod
     def of(cls, df: DataFrame, index: str, values: Sequence[str], keys: Sequence[str] = (), order: Sequence[str] = ()) -> Panel:
@@ -62,7 +80,7 @@ class Panel:
     # -- building new panels
 
     def with_df(self, df: DataFrame, **changes) -> Panel:
-        return replace(self, df=df, **changes)
+        return replace(self, df=df, **{"root": object(), "steps": ()} | changes)
 
     def map(self, f: Callable[[Column], Column]) -> Panel:
         """A Column function of every value column; windows of all columns share one sort."""
@@ -91,7 +109,55 @@ class Panel:
 
         if name.startswith("_") or name not in OPERATORS:
             raise AttributeError(name)
-        return lambda *args, **kwargs: OPERATORS[name](self, *args, **kwargs)
+        def call(*args, **kwargs):
+            out = OPERATORS[name](self, *args, **kwargs)
+            if not isinstance(out, Panel) or name in NEW_ROWS:
+                return out
+            if name == "mapr":  # the rows are those of the panel aligned to
+                return _traced(out, args[0], lambda y: OPERATORS["mapr"](self, y), object())
+            return _traced(out, self, lambda q: OPERATORS[name](q, *args, **kwargs), object())
+
+        return call
+
+
+def _traced(out: Panel, before: Panel, act: Callable[[Panel], Panel], token: object) -> Panel:
+    return replace(out, root=before.root, steps=(*before.steps, Step(token, act, before)))
+
+
+def _replayed(p: Panel, steps: Sequence[Step]) -> Panel:
+    for s in steps:
+        p = _traced(s.act(p), p, s.act, s.token)
+    return p
+
+
+def together(p: Panel, other: Panel) -> tuple[Panel, list[str], str, list[str]] | None:
+    """Two panels of the same rows in one DataFrame, without a join; None if they are not known to be that.
+
+    Their operators are called again from where the two part, first other's, whose results are then carried along as
+    hidden columns, then p's. Gives p with the hidden names of other's values, active mask and named masks.
+    """
+    if p.root is not other.root:
+        return None
+    n = 0
+    while n < min(len(p.steps), len(other.steps)) and p.steps[n].token is other.steps[n].token:
+        n += 1
+    start = p.steps[n].before if n < len(p.steps) else p
+    h = f"{HIDDEN}{next(_serial)}_"
+    fixed = (*start.keys, POS)
+    own = [c for c in start.df.columns if c not in fixed and not c.startswith(HIDDEN)]
+    on = lambda df: replace(start, df=df)
+    q = _replayed(on(start.df.withColumns({f"{h}s{i}": F.col(f"`{c}`") for i, c in enumerate(own)})), other.steps[n:])
+    carried = [c for c in q.df.columns if c.startswith(HIDDEN)]
+    if any(f"{h}s{i}" not in carried for i in range(len(own))):
+        return None
+    found = {f"{h}v{i}": c for i, c in enumerate(q.values)} | {f"{h}a": ACTIVE} | {f"{h}m{i}": MASK + m for i, m in enumerate(q.masks)}
+    back = [F.col(f"{h}s{i}").alias(c) for i, c in enumerate(own)]
+    rest = [F.col(c) for c in carried if not c.startswith(f"{h}s")]
+    both = _replayed(on(q.df.select(*fixed, *back, *rest, *[F.col(f"`{c}`").alias(k) for k, c in found.items()])), p.steps[n:])
+    if any(k not in both.df.columns for k in found):
+        return None
+    names = list(found)
+    return both, names[: len(q.values)], f"{h}a", names[len(q.values) + 1 :]
 
 
 def tmp(kind: str, column: str) -> str:

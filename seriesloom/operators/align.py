@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..frame import ACTIVE, MASK, POS, Panel
+from ..frame import ACTIVE, HIDDEN, MASK, POS, Panel
 
 
 def _check(x: Panel, y: Panel) -> None:
@@ -30,14 +30,15 @@ def mapr(x: Panel, y: Panel) -> Panel:
     own = [ACTIVE, *[MASK + m for m in x.masks]]
     row = F.struct(*[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate([*x.values, *own])])
     left = x.df.groupBy(*[F.col(k).alias(f"__l_{k}") for k in x.keys], F.col(x.index).alias("__l_index")).agg(F.max_by(row, POS).alias("__l_row"))
-    right = y.df.select(*y.keys, F.col(y.index), POS)
+    hidden = [c for c in y.df.columns if c.startswith(HIDDEN)]
+    right = y.df.select(*y.keys, F.col(y.index), POS, *hidden)
     on = F.col(y.index).eqNullSafe(F.col("__l_index"))
     for k in x.keys:
         on = on & F.col(k).eqNullSafe(F.col(f"__l_{k}"))
     joined = right.join(left, on, "left")
     picked = [F.col(f"__l_row.v{i}").alias(c) for i, c in enumerate(x.values)]
     masks = [F.coalesce(F.col(f"__l_row.v{len(x.values) + i}"), F.lit(False)).alias(c) for i, c in enumerate(own)]
-    df = joined.select(*y.keys, F.col(y.index).alias(x.index), POS, *picked, *masks)
+    df = joined.select(*y.keys, F.col(y.index).alias(x.index), POS, *picked, *masks, *hidden)
     return x.with_df(df)
 
 

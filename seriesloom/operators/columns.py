@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frame import POS, Panel
+from ..frame import POS, Panel, together
 from ..functions import exprs as E
 
 UNARY = {"log": E.ln, "exp": F.exp, "abs": F.abs}
@@ -51,6 +51,10 @@ def setcol(p: Panel, name: str, new: Column | Panel) -> Panel:
     if isinstance(new, Panel):
         if len(new.values) != 1:
             raise ValueError("setcol takes one column")
+        one = together(p, new)
+        if one:
+            both, (value,), active, masks = one
+            return p.with_df(both.df.withColumn(name, F.col(value)).drop(value, active, *masks), values=values)
         other = new.df.select(*p.keys, POS, F.col(f"`{new.values[0]}`").alias("__new"))
         return p.with_df(p.df.join(other, [*p.keys, POS], "left").withColumn(name, F.col("__new")).drop("__new"), values=values)
     return p.with_df(p.df.withColumn(name, new), values=values)

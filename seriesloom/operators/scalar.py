@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..frame import ACTIVE, MASK, POS, Panel
+from ..frame import ACTIVE, MASK, POS, Panel, together
 from ..functions import exprs as E
 
 
 def binary(p: Panel, other: Panel | float, f) -> Panel:
     """f(left, right) by a literal, or by another panel: columns pair by place, rows by keys and position.
 
+    Panels made of the same rows by operators that keep them are one projection; others are joined.
     The result has the left names, both panels' active masks, and the named masks of both; rows on which masks
     of one name differ raise an error when that mask is read.
     """
@@ -20,15 +21,23 @@ def binary(p: Panel, other: Panel | float, f) -> Panel:
     if len(p.values) != len(other.values) or p.keys != other.keys:
         raise ValueError("panels differ in keys or number of columns")
     new = [m for m in other.masks if m not in p.masks]
-    both = {m: f"__t_m{i}" for i, m in enumerate(other.masks) if m in p.masks}
-    masks = [F.col(f"`{MASK}{m}`").alias(both.get(m, MASK + m)) for m in other.masks]
-    right = other.df.select(*p.keys, POS, *masks, F.col(ACTIVE).alias("__t_active"), *[F.col(f"`{c}`").alias(f"__t_r{i}") for i, c in enumerate(other.values)])
-    df = p.df.join(right, [*p.keys, POS])
-    df = df.withColumns({c: f(F.col(f"`{c}`"), F.col(f"__t_r{i}")) for i, c in enumerate(p.values)}).withColumn(ACTIVE, F.col(ACTIVE) | F.col("__t_active"))
-    for m, c in both.items():
-        own = F.col(f"`{MASK}{m}`")
-        df = df.withColumn(MASK + m, F.when(own == F.col(c), own).otherwise(F.raise_error(F.lit(f"masks {m} of two panels differ")).cast("boolean")))
-    return p.with_df(df.drop("__t_active", *both.values(), *[f"__t_r{i}" for i in range(len(other.values))]), masks=(*p.masks, *new))
+    one = together(p, other)
+    if one:
+        both, values, active, masks = one
+        df = both.df
+    else:
+        values, active, masks = [f"__t_r{i}" for i in range(len(other.values))], "__t_active", [f"__t_m{i}" for i in range(len(other.masks))]
+        named = [MASK + m for m in other.masks]
+        right = other.df.select(*p.keys, POS, *[F.col(f"`{c}`").alias(k) for c, k in zip((*other.values, ACTIVE, *named), (*values, active, *masks))])
+        df = p.df.join(right, [*p.keys, POS])
+    df = df.withColumns({c: f(F.col(f"`{c}`"), F.col(k)) for c, k in zip(p.values, values)}).withColumn(ACTIVE, F.col(ACTIVE) | F.col(active))
+    for m, k in zip(other.masks, masks):
+        mask = F.col(k)
+        if m in p.masks:
+            own = F.col(f"`{MASK}{m}`")
+            mask = F.when(own == mask, own).otherwise(F.raise_error(F.lit(f"masks {m} of two panels differ")).cast("boolean"))
+        df = df.withColumn(MASK + m, mask)
+    return p.with_df(df.drop(*values, active, *masks), masks=(*p.masks, *new))
 
 
 def add(p: Panel, other) -> Panel:

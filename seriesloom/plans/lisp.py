@@ -13,7 +13,6 @@ from typing import Any
 from pyspark.sql import SparkSession
 
 from ..frame import Panel
-from ..registry import OPERATORS
 from ..sources import csvfile
 
 #: Tokens of the language, and the operators of the registry they call.
@@ -181,7 +180,7 @@ class Session:
         rest = [_plain(a) for i, a in enumerate(args) if i != first]
         if name == "withcol":
             rest[1] = TOKENS.get(rest[1], rest[1])
-        return OPERATORS[TOKENS[name]](panels[0], *rest)
+        return getattr(panels[0], TOKENS[name])(*rest)
 
     # -- special forms
 
