@@ -35,7 +35,7 @@ TOKENS = {
     "ir": "information_ratio", "ir2": "information_ratio", "o": "o", "ro": "ro", "select": "select", "col": "col",
     "w": "column_at", "select-num": "select_num", "cols": "cols", "len": "length", "setcol": "setcol", "withcol": "withcol",
     "map-cols": "map_cols", "apply-cols": "apply_cols",
-    ">-cols": "gt", ">-col": "gt",
+    ">-cols": "gt", ">-col": "gt", "d": "diff", "ts": "shift", "xm": "xminus", "wavg": "wmean", "wmean-cols": "wmean", "wm": "ft_wmean",
 }
 _NUMBERS: dict[str, Callable] = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / b, ">": lambda a, b: float(a > b), "<": lambda a, b: float(a < b), ">=": lambda a, b: float(a >= b), "<=": lambda a, b: float(a <= b), "==": lambda a, b: float(a == b), "!=": lambda a, b: float(a != b)}
 _token = re.compile(r"""\s*(?:;[^\n]*)?(?:(,@|[()'`,])|"((?:\\.|[^"\\])*)"|([^\s()'`,;"]+)|$)""", re.S)
@@ -155,7 +155,7 @@ class Session:
             return csvfile.read_stdin(self.spark)
         if name == "save":
             return csvfile.write_csv(next(a for a in args if isinstance(a, Panel)), next(a for a in args if isinstance(a, str)))
-        if name == "print":
+        if name in ("print", "dump"):
             for a in args:
                 csvfile.print_table(a) if isinstance(a, Panel) else print(a, end=" ")
             return None

@@ -7,9 +7,13 @@ named so; otherwise a running number is.
 
 from __future__ import annotations
 
+import atexit
+import os
 import re
+import shutil
 import sys
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +77,8 @@ def read_csv(spark: SparkSession, path: str, sep: str = ";", columns: list[str]
         index, key = first, (F.trim(F.col(f"`{first}`")) if kinds[first] == "double" else cell(first, kinds[first]))
     from ..plans.blocked import numbered
 
+    if head is not None:  # the file's first rows are among the first of each split
+        order = order.where(F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1)) < head)
     rows = numbered(order, "__mono", POS)
     chosen = [(key if key is not None else F.col(POS).cast("string")).alias(index)]
     chosen += [cell(c, kinds[c]).alias(c) for c in values]
@@ -105,11 +111,34 @@ def text_columns(p: Panel, missing: str) -> list[Column]:
     return [index, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(missing)).alias(c) for c in p.values]]
 
 
-def write_csv(p: Panel, path: str, sep: str = ";", missing: str = "NaN") -> None:
-    """Part files in row order, each with a header; cells as text."""
+def write_csv(p: Panel, path: str, sep: str = ";", missing: str = "NaN", single: bool = False) -> None:
+    """Part files in row order, each with a header; cells as text. With single, one part, written by one task."""
     if not p.values:
         raise ValueError("nothing to write")
-    p.df.orderBy(*p.keys, POS).select(*text_columns(p, missing)).write.mode("overwrite").option("sep", sep).option("header", True).option("quote", "").csv(path)
+    rows = p.df.orderBy(*p.keys, POS)
+    rows = (rows.coalesce(1) if single else rows).select(*text_columns(p, missing))
+    rows.write.mode("overwrite").option("sep", sep).option("header", True).option("quote", "").csv(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder all executors share; a temporary one only on one machine where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="seriesloom-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def save_file(p: Panel, path: str, sep: str = ";", missing: str = "NaN") -> None:
+    """One ordered file on the driver's own disk, a partition at a time; it takes its name when it is whole."""
+    if not p.values:
+        raise ValueError("nothing to write")
+    half = f"{path}.{uuid.uuid4().hex}"
+    with open(half, "w") as out:
+        print_table(p, out, sep, missing)
+    os.replace(half, path)
 
 
 def print_table(p: Panel, out=None, sep: str = ";", missing: str = "NA") -> None:
@@ -119,9 +148,3 @@ def print_table(p: Panel, out=None, sep: str = ";", missing: str = "NA") -> None
     for r in p.df.orderBy(*p.keys, POS).select(*text_columns(p, missing)).toLocalIterator():
         print(sep.join(r), file=out)
 
-
-def scratch_file(text: str) -> str:
-    """A local file with this text, for tests and examples."""
-    path = Path(tempfile.mkdtemp(prefix="seriesloom-csv-")) / "input.csv"
-    path.write_text(text)
-    return str(path)
