@@ -27,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ DEPTH = 200
 ANCHOR = 100
 DIGIT = 40
 FLUSH = 1_000_000
+SLICE = 1 << 18
+SIDES = 8192
 _records = pa.schema([(c, pa.int64()) for c in ("h", "c", "d", "t", "lo", "hi", "at", "many")])
 
 
@@ -95,7 +98,7 @@ def found(docs: DataFrame, depth: int, anchor: int) -> DataFrame:
                 yield base.batch(_records, h=pa.nulls(len(g), pa.int64()), c=np.zeros(len(g), np.int64), d=d[g], t=t[g], lo=lo[g], hi=hi[g], at=at[g], many=np.ones(len(g), np.int64))
 
         for whole in batches:
-            for b in base.slices(whole, "text", 4 << 20):
+            for b in base.slices(whole, "text", SLICE):
                 h, c, doc, lo, hi, at = records(b.column("text"), depth, anchor)
                 if len(h):
                     held.append((h, c, b.column("d").to_numpy()[doc], b.column("t").to_numpy()[doc], lo, hi, at))
@@ -183,6 +186,14 @@ def sorted_buckets(recs: DataFrame) -> DataFrame:
 _sides = pa.schema([("key", pa.int64()), ("d", pa.int64()), ("t", pa.int64()), ("lo", pa.int64()), ("at", pa.int64()), ("left", pa.int64()), ("body", pa.binary())])
 
 
+def cut(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+    """The bytes of each range as a binary array."""
+    ends = np.cumsum(hi - lo)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    place = np.arange(offsets[-1]) + np.repeat(lo - offsets[:-1], hi - lo)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[place]))])
+
+
 def sides(rows: DataFrame, depth: int, anchor: int) -> DataFrame:
     """For each record two rows with bytes: windows that reach far to the left of the anchor, and the rest.
 
@@ -191,26 +202,30 @@ def sides(rows: DataFrame, depth: int, anchor: int) -> DataFrame:
     spare = depth - anchor
     half = (spare + 1) // 2
 
+    def reaches(at: np.ndarray, left: int) -> tuple[np.ndarray, ...]:
+        """Begin and end of the bytes, and of the key, on one side."""
+        if left:
+            return at - spare, at + depth - half, at - half, at + anchor
+        return at - half + 1, at + depth, at, at + anchor + spare - half + 1
+
     def run(batches):
         for whole in batches:
             for b in base.slices(whole, "text"):
-                out: dict[str, list] = {f.name: [] for f in _sides}
-                for d, t, text, marks in zip(*(b.column(c).to_pylist() for c in ("d", "t", "text", "marks"))):
-                    raw = text.encode("utf-8", "surrogatepass")
-                    sums = Sums(np.frombuffer(raw, np.uint8))
-                    for m in marks:
-                        at = m["at"]
-                        for left, lo, hi, k0, k1 in ((1, at - spare, at + depth - half, at - half, at + anchor), (0, at - half + 1, at + depth, at, at + anchor + spare - half + 1)):
-                            if k0 < 0 or k1 > len(raw):
-                                continue
-                            lo, hi = max(0, lo), min(len(raw), hi)
-                            if hi - lo < depth:
-                                continue
-                            key = int(mix(sums.of(np.array([k0]), np.array([k1])) ^ np.uint64(left)).view(np.int64)[0])
-                            for column, v in zip(out.values(), (key, d, t, lo, at, left, raw[lo:hi])):
-                                column.append(v)
-                if out["key"]:
-                    yield base.batch(_sides, **out)
+                marks = b.column("marks")
+                doc = np.repeat(np.arange(b.num_rows), pc.list_value_length(marks).to_numpy())
+                data, offsets = base.bytes_of(b.column("text"))
+                begin, end = offsets[:-1][doc], offsets[1:][doc]
+                at = marks.flatten().field("at").to_numpy() + begin
+                sums = Sums(data)
+                d, t = b.column("d").to_numpy(zero_copy_only=False)[doc], b.column("t").to_numpy(zero_copy_only=False)[doc]
+                for left in (1, 0):
+                    lo, hi, k0, k1 = reaches(at, left)
+                    lo, hi = np.maximum(begin, lo), np.minimum(end, hi)
+                    whole_side = np.flatnonzero((k0 >= begin) & (k1 <= end) & (hi - lo >= depth))
+                    for i in range(0, len(whole_side), SIDES):
+                        r = whole_side[i : i + SIDES]
+                        key = mix(sums.of(k0[r], k1[r]) ^ np.uint64(left)).view(np.int64)
+                        yield base.batch(_sides, key=key, d=d[r], t=t[r], lo=(lo - begin)[r], at=(at - begin)[r], left=np.full(len(r), left, np.int64), body=cut(data, lo[r], hi[r]))
 
     return base.arrow_map(rows, run, _ddl(_sides))
 
@@ -237,7 +252,8 @@ def radix(key: np.ndarray, at: np.ndarray, bodies: list[bytes], left: np.ndarray
         if not len(group):
             break
         name = sums.of(place + digit, place + min(depth, digit + DIGIT))
-        order = np.lexsort((name, group))
+        # in order of a hash of both, equal ones are neighbours; which are equal is told by group and name
+        order = np.argsort(mix(name ^ mix(group.astype(np.uint64))))
         g, v = group[order], name[order]
         new = np.concatenate([[True], (g[1:] != g[:-1]) | (v[1:] != v[:-1])])
         named = np.cumsum(new) - 1
