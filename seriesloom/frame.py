@@ -42,6 +42,8 @@ class Panel:
     keys: tuple[str, ...] = ()
     masks: tuple[str, ...] = ()
     orientation: str = "H"
+    #: Log returns of two zeros (or two infinities) as NaN instead of NULL: for last results only, operators count a NaN as a value.
+    keeps_nan: bool = False
     #: The rows this panel was made of, and the operators called on them since: panels of the same rows meet without a join.
     root: object = field(default_factory=object, compare=False, repr=False)
     steps: tuple[Step, ...] = field(default=(), compare=False, repr=False)

@@ -25,6 +25,10 @@ def na(x: Column) -> Column:
     return F.nanvl(x, null())
 
 
+def same(x: Column) -> Column:
+    return x
+
+
 def ln(x: Column) -> Column:
     """Natural logarithm: of 0 minus infinity, of negatives NULL."""
     return F.when(x > 0, F.ln(x)).when(x == 0, F.lit(float("-inf")))

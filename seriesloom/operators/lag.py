@@ -36,8 +36,9 @@ def diff(p: Panel, k: int = 1) -> Panel:
 
 
 def dlog(p: Panel) -> Panel:
-    """ln(x) less ln of the last value that is there; zeros give infinities, two zeros NULL."""
-    return p.map(lambda x: E.na(E.ln(x) - E.ln(F.last(x, ignorenulls=True).over(p.before))))
+    """ln(x) less ln of the last value that is there; zeros give infinities, two zeros NULL, or NaN if the panel keeps it."""
+    na = E.same if p.keeps_nan else E.na
+    return p.map(lambda x: na(E.ln(x) - E.ln(F.last(x, ignorenulls=True).over(p.before))))
 
 
 def dlog_ofs(p: Panel, k: int = 1) -> Panel:

@@ -8,6 +8,7 @@ event_id, the same way on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,11 @@ def series(name: str, f: Callable[[Panel], Panel], sql: str | dict[str, str], so
     SQL[name] = sql_shown({"x": sql} if isinstance(sql, str) else sql, source, before, places)
 
 
+def with_nan(p: Panel) -> Panel:
+    """SQL has NaN where two zeros follow each other in a series of log returns."""
+    return replace(p, keeps_nan=True)
+
+
 def safe(n: str, d: str) -> str:
     return f"CASE WHEN {d} <> 0 THEN ({n}) / ({d}) END"
 
@@ -99,7 +105,7 @@ for _name, _sql in (("add", no_nan("(x + y)")), ("sub", no_nan("(x - y)")), ("mu
 PREV = f"last_value(x IGNORE NULLS) OVER {BEFORE}"
 series("shift", lambda p: p.shift(3), f"lag(x, 3) OVER ({PART})")
 series("diff", lambda p: p.diff(2), f"x - lag(x, 2) OVER ({PART})")
-series("dlog", lambda p: p.dlog(), f"{LN.format('x')} - {LN.format('p')}", "q", f"q AS (SELECT *, {PREV} AS p FROM e)")
+series("dlog", lambda p: with_nan(p).dlog(), f"{LN.format('x')} - {LN.format('p')}", "q", f"q AS (SELECT *, {PREV} AS p FROM e)")
 series("dlog_edges", lambda p: p.chop(0.0, 3.0).dlog(), f"CASE WHEN NOT isnan({LN.format('x')} - ({LN.format('p')})) THEN {LN.format('x')} - ({LN.format('p')}) END", "q", f"v AS (SELECT * REPLACE (CASE WHEN x IS NOT NULL THEN least(greatest(x, 0.0), 3.0) END AS x) FROM e), q AS (SELECT *, {PREV} AS p FROM v)")
 series("dlog_ofs", lambda p: p.dlog_ofs(1), f"{LN.format('x')} - {LN.format('p')}", "q", f"q AS (SELECT *, lag(x, 1) OVER ({PART}) AS p FROM e)")
 series("ret", lambda p: p.ret(), safe("x - p", "p"), "q", f"q AS (SELECT *, {PREV} AS p FROM e)")

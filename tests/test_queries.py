@@ -42,6 +42,36 @@ def test_query(spark, duck, size, name):
     assert ours and ours == sorted(tuple(plain(r[i]) for i in to) for r in expected.fetchall())
 
 
+def exact(v):
+    return "null" if v is None else repr(v)
+
+
+@pytest.fixture(scope="module")
+def zeros(spark, tmp_path_factory):
+    """Events with zeros alone, after each other and around gaps: log returns of minus infinity, infinity and NaN."""
+    at = tmp_path_factory.mktemp("zeros")
+    values = [0.0, 0.0, 0.0, 3.5, 0.0, 10.0, 0.0, 0.0, 0.0, 10.0, 0.0, 4.0, 12.5, 0.0]
+    rows = ", ".join(f"({i}, {values[i % 14]}::double, '{'ab'[i // 7 % 2]}')" for i in range(56))
+    duckdb.execute(f"copy (select i::bigint as event_id, timestamp '2024-01-01' + to_hours((i // 2)::int) as ts, k as event_type, v as value from (values {rows}) as r(i, v, k)) to '{at}/events.parquet'")
+    return str(at)
+
+
+LOGS = ("dlog", "dlog_edges", "log")
+
+
+@pytest.mark.parametrize("name", LOGS)
+def test_logarithms_of_zeros_cell_by_cell(spark, zeros, name):
+    """NaN is no NULL here; infinities have their sign."""
+    df = QUERIES[name](spark, zeros)
+    with duckdb.connect() as duck:
+        duck.execute(f"create view events as select * from '{zeros}/events.parquet'")
+        expected = duck.execute(SQL[name]).fetchall()
+        names = [c[0] for c in duck.description]
+    ours = sorted(tuple(exact(r[c]) for c in names) for r in df.collect())
+    assert ours == sorted(tuple(map(exact, r)) for r in expected)
+    assert any("inf" in r[-1] for r in ours)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
