@@ -42,9 +42,10 @@ def dlog(p: Panel) -> Panel:
 
 
 def dlog_ofs(p: Panel, k: int = 1) -> Panel:
-    """ln(x) less ln of the value k rows before; NULL unless both are finite."""
+    """ln(x) less ln of the value k rows before; NULL unless both are finite; zeros as in dlog()."""
     k = _steps(k)
-    return p.map(lambda x: E.na(E.ln(E.finite(x)) - E.ln(E.finite(F.lag(x, k).over(p.ordered)))))
+    na = E.same if p.keeps_nan else E.na
+    return p.map(lambda x: na(E.ln(E.finite(x)) - E.ln(E.finite(F.lag(x, k).over(p.ordered)))))
 
 
 def ret(p: Panel) -> Panel:

@@ -107,7 +107,7 @@ series("shift", lambda p: p.shift(3), f"lag(x, 3) OVER ({PART})")
 series("diff", lambda p: p.diff(2), f"x - lag(x, 2) OVER ({PART})")
 series("dlog", lambda p: with_nan(p).dlog(), f"{LN.format('x')} - {LN.format('p')}", "q", f"q AS (SELECT *, {PREV} AS p FROM e)")
 series("dlog_edges", lambda p: p.chop(0.0, 3.0).dlog(), f"CASE WHEN NOT isnan({LN.format('x')} - ({LN.format('p')})) THEN {LN.format('x')} - ({LN.format('p')}) END", "q", f"v AS (SELECT * REPLACE (CASE WHEN x IS NOT NULL THEN least(greatest(x, 0.0), 3.0) END AS x) FROM e), q AS (SELECT *, {PREV} AS p FROM v)")
-series("dlog_ofs", lambda p: p.dlog_ofs(1), f"{LN.format('x')} - {LN.format('p')}", "q", f"q AS (SELECT *, lag(x, 1) OVER ({PART}) AS p FROM e)")
+series("dlog_ofs", lambda p: with_nan(p).dlog_ofs(1), f"{LN.format('x')} - {LN.format('p')}", "q", f"q AS (SELECT *, lag(x, 1) OVER ({PART}) AS p FROM e)")
 series("ret", lambda p: p.ret(), safe("x - p", "p"), "q", f"q AS (SELECT *, {PREV} AS p FROM e)")
 series("locf", lambda p: p.locf(), f"last_value(x IGNORE NULLS) OVER {SO_FAR}")
 series("keep", lambda p: p.keep(4), "CASE WHEN pos % 4 = 0 THEN x END")
