@@ -391,9 +391,9 @@ QUERIES["lisp"] = _lisp
 SQL["lisp"] = sql_shown({"x": "CASE WHEN c >= 20 THEN mu END - 1"}, "b", obs(20, "f", f"f AS (SELECT * REPLACE (2.0 * last_value(x IGNORE NULLS) OVER {SO_FAR} AS x) FROM e), "))
 
 
-def form(name: str, text: str, sql: str | dict[str, str], source: str = "e", before: str = "", names: tuple[str, ...] = ("x",)) -> None:
+def form(name: str, text: str, sql: str | dict[str, str], source: str = "e", before: str = "", names: tuple[str, ...] = ("x",), panel: Callable[[Panel], Panel] = lambda p: p) -> None:
     """Register a form of the front end over the events, named x."""
-    QUERIES[name] = lambda spark, sf_dir: shown(lisp.Session(spark, x=tables.events(spark, sf_dir, names=names)).run(text))
+    QUERIES[name] = lambda spark, sf_dir: shown(lisp.Session(spark, x=panel(tables.events(spark, sf_dir, names=names))).run(text))
     SQL[name] = sql_shown({"x": sql} if isinstance(sql, str) else sql, source, before)
 
 
@@ -403,7 +403,7 @@ form("form_same_panel", "(- x x)", "x - x")
 form("form_compare", "(>-cols x 25)", "CAST(x > 25 AS DOUBLE)")
 form("form_define", "(define half (lambda (p) (/ p 2))) (defparameter k 3) (half (shift x k))", f"lag(x, 3) OVER ({PART}) / 2")
 form("form_branches", "(let* ((a 2) (b (+ a 1))) (progn (unless nil (when t (if (> b a) (* x b) x)))))", "x * 3")
-form("form_dlog_cols", "(dlog-cols x 2)", f"{LN.format('x')} - {LN.format('p')}", "q", f"q AS (SELECT *, lag(x, 2) OVER ({PART}) AS p FROM e)")
+form("form_dlog_cols", "(dlog-cols x 2)", f"{LN.format('x')} - {LN.format('p')}", "q", f"q AS (SELECT *, lag(x, 2) OVER ({PART}) AS p FROM e)", panel=with_nan)
 form("form_dlog_col", "(dlog-col x)", f"{LN.format('x')} - {LN.format('p')}", "q", f"q AS (SELECT *, {PREV} AS p FROM e)")
 form("form_cs1_col", "(cs1-col x)", f"CASE WHEN x IS NOT NULL THEN 1 + sum(x) OVER {SO_FAR} END")
 form("form_columns", "(withcol (setcol x 'y (abs (col x 'u))) 'x 'locf)", {"x": f"last_value(x IGNORE NULLS) OVER {SO_FAR}", "y": "abs(u)", "u": "u"}, names=("x", "y", "u"))
