@@ -404,7 +404,7 @@ form("form_compare", "(>-cols x 25)", "CAST(x > 25 AS DOUBLE)")
 form("form_define", "(define half (lambda (p) (/ p 2))) (defparameter k 3) (half (shift x k))", f"lag(x, 3) OVER ({PART}) / 2")
 form("form_branches", "(let* ((a 2) (b (+ a 1))) (progn (unless nil (when t (if (> b a) (* x b) x)))))", "x * 3")
 form("form_dlog_cols", "(dlog-cols x 2)", f"{LN.format('x')} - {LN.format('p')}", "q", f"q AS (SELECT *, lag(x, 2) OVER ({PART}) AS p FROM e)", panel=with_nan)
-form("form_dlog_col", "(dlog-col x)", f"{LN.format('x')} - {LN.format('p')}", "q", f"q AS (SELECT *, {PREV} AS p FROM e)")
+form("form_dlog_col", "(dlog-col x)", f"{LN.format('x')} - {LN.format('p')}", "q", f"q AS (SELECT *, {PREV} AS p FROM e)", panel=with_nan)
 form("form_cs1_col", "(cs1-col x)", f"CASE WHEN x IS NOT NULL THEN 1 + sum(x) OVER {SO_FAR} END")
 form("form_columns", "(withcol (setcol x 'y (abs (col x 'u))) 'x 'locf)", {"x": f"last_value(x IGNORE NULLS) OVER {SO_FAR}", "y": "abs(u)", "u": "u"}, names=("x", "y", "u"))
 form("form_masks", "(-> x (mask-weekend) (with-mask 'weekend) (lag-obs 2))", "CASE WHEN NOT m THEN lag(x, 2) OVER (PARTITION BY event_type, m ORDER BY pos) END", "m", f"m AS (SELECT *, {OFF} AS m FROM e)")
