@@ -96,7 +96,8 @@ def locf(p: Panel) -> Panel:
 def dlog(p: Panel) -> Panel:
     df = _with_carries(p, lambda c: {f"__c_{c}": (_tail(c), _last)})
     prev = lambda c: F.coalesce(_last(F.col(f"`{c}`")).over(_inside(_before)), F.col(f"`__c_{c}`"))
-    return _done(p, df, lambda c: E.na(E.ln(F.col(f"`{c}`")) - E.ln(prev(c))))
+    na = E.same if p.keeps_nan else E.na
+    return _done(p, df, lambda c: na(E.ln(F.col(f"`{c}`")) - E.ln(prev(c))))
 
 
 def cs1(p: Panel) -> Panel:

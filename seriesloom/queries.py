@@ -348,7 +348,7 @@ def one(name: str, f: Callable[[Panel], Panel], sql: str, source: str = "e", bef
 
 
 one("blocked_locf", blocked.locf, f"last_value(x IGNORE NULLS) OVER {SO_FAR}")
-one("blocked_dlog", blocked.dlog, f"{LN.format('x')} - {LN.format('p')}", "q", f"q AS (SELECT *, {PREV} AS p FROM e)")
+one("blocked_dlog", lambda p: blocked.dlog(with_nan(p)), f"{LN.format('x')} - {LN.format('p')}", "q", f"q AS (SELECT *, {PREV} AS p FROM e)")
 one("blocked_cs1", blocked.cs1, f"CASE WHEN x IS NOT NULL THEN 1 + sum(x) OVER {SO_FAR} END")
 one("blocked_shift", lambda p: blocked.shift(p, 5), f"lag(x, 5) OVER ({PART})")
 one("blocked_rolling_mean", lambda p: blocked.rolling_mean(p, 20, 500), "CASE WHEN c >= 20 THEN mu END", "b", obs(20))

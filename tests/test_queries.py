@@ -56,7 +56,7 @@ def zeros(spark, tmp_path_factory):
     return str(at)
 
 
-LOGS = ("dlog", "dlog_edges", "dlog_ofs", "form_dlog_col", "form_dlog_cols", "log")
+LOGS = ("blocked_dlog", "dlog", "dlog_edges", "dlog_ofs", "form_dlog_col", "form_dlog_cols", "log")
 
 
 @pytest.mark.parametrize("name", LOGS)
