@@ -17,6 +17,8 @@
    has. There all runs of MIN_WORDS words are matched with their first occurrence in the same way, and overlapping
    ones of a pair are one passage. So a run of MIN_WORDS words that an earlier document has is found, whatever its seeds
    are matched with; only where all its seeds lie on one diagonal of one first holder is it left to that holder's alignment.
+5. Seeds that no passage found so far covers are matched again, with every earlier holder that has like words around it, and
+   chained and aligned in the same way: a passage with edits is found though each of its seeds has another first holder.
 
 A seed that a task meets in many texts is tied to the first of them there, and only that goes on to the other
 tasks, so no key gathers what a common phrase has; the others then take over what their first one is matched
@@ -50,14 +52,19 @@ FAR = 25
 REACH = 64
 TAIL = 16
 FLUSH = 600_000
+ALIKE = 24  # pairs of neighbouring words that the places of a passage share, at least: 29 of any 50 columns that reach IDENTITY
+DIRECT = 512
+BLOCK = 4096
 SPREAD = 16  # occurrences of a seed in one flush that all go to the seed's key
 _seed = pa.schema([(c, pa.int64()) for c in ("h", "d", "t", "pos", "rd", "rt", "rpos")])
 _match = pa.schema([("kind", pa.int32())] + [(c, pa.int64()) for c in ("d", "t", "pos", "rd", "rt", "rpos")])
+_link = pa.schema([(c, pa.int64()) for c in ("d", "t", "pos", "rd", "rt", "rpos")])
 MATCH, HEAD, TIED = 0, 1, 2
 
 
 def _ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'int' if f.type == pa.int32() else 'long'}" for f in schema)
+    kinds = {pa.binary(): "binary", pa.int32(): "int", pa.bool_(): "boolean"}
+    return ", ".join(f"{f.name} {kinds.get(f.type, 'long')}" for f in schema)
 
 
 def thin(at: np.ndarray, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -631,13 +638,9 @@ def hopeful(batch: pa.RecordBatch) -> np.ndarray:
 _passages = pa.schema([(c, pa.int64()) for c in ("d", "t", "start", "end", "rd", "rt", "rstart", "rend", "equal", "columns")])
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """d, t, start, end (words) of every passage, with the earlier document's rd, rt, rstart, rend, and how equal it is."""
-    texts = base.keyed(docs).select("d", "t", "text")
-    met = matches(occurrences(texts), "matches")
-    shared = met.where("pos >= 0")
-    copies = met.where("pos < 0 and d <> rd").select("d", "t", F.lit(0).cast("long").alias("start"), (-F.col("pos")).alias("end"), "rd", "rt", F.lit(0).cast("long").alias("rstart"), (-F.col("pos")).alias("rend"), (-F.col("pos")).alias("equal"), (-F.col("pos")).alias("columns"))
-    found = base.stored(chains(shared.where("t <> rt")), "chains")
+def aligned(texts: DataFrame, links: DataFrame) -> DataFrame:
+    """Passages of the pairs of texts that links tie: chains of links, aligned on the words around them."""
+    found = base.stored(chains(links.where("t <> rt")), "chains")
     spans = windows(texts, found)
     own = spans.withColumnsRenamed({"origin": "a0", "words": "a"})
     other = spans.toDF("rd", "rt", "rlo", "rhi", "b0", "b")
@@ -654,10 +657,156 @@ def passages(docs: DataFrame) -> DataFrame:
             if out["d"]:
                 yield base.batch(_passages, **out)
 
-    # two plans of half the size: the driver holds one at a time
+    return base.arrow_map(both, run, _ddl(_passages))
+
+
+_near = pa.schema([("h", pa.int64()), ("i", pa.int32()), ("j", pa.int32())] + [(c, pa.int64()) for c in ("d", "t", "pos")] + [("open", pa.bool_()), ("side", pa.int32()), ("ctx", pa.binary())])
+
+
+def earlier_like(ctx: np.ndarray, d: np.ndarray, t: np.ndarray, wanted: np.ndarray, side: np.ndarray):
+    """For each wanted row, the rows of earlier texts (of another side, if sides differ) with ALIKE pairs of words of its ctx.
+
+    Rows are ordered by d and t. ctx holds codes of pairs of neighbouring words, each once a row, 0 for none. In a large group a row is
+    looked for by all its codes but those ALIKE - 1 that most rows have: rows with ALIKE common ones share one of the others.
+    """
+    n = len(ctx)
+    begin = np.searchsorted(np.arange(n), np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])])))
+    before = begin[np.searchsorted(begin, np.arange(n), side="right") - 1]  # the first row of the same text
+    crossed = side.min() != side.max()
+    mark = np.zeros(1 << 16, bool)
+    if n > DIRECT:
+        count = np.bincount(ctx.ravel(), minlength=1 << 16)
+        count[0] = -1
+        rank = np.empty(1 << 16, np.int64)
+        rank[np.lexsort((np.arange(1 << 16), count))] = np.arange(1 << 16)
+        by = np.take_along_axis(ctx, np.argsort(-rank[ctx], axis=1), 1)[:, ALIKE - 1 :]
+        row, _ = np.nonzero(by)
+        code = by[by != 0]
+        order = np.argsort(code, kind="stable")
+        row, at = row[order], np.searchsorted(code[order], np.arange((1 << 16) + 1))
+    for b in np.flatnonzero(wanted & (before > 0)):
+        if n > DIRECT:
+            lists = [row[at[c] : at[c + 1]] for c in by[b][by[b] != 0].tolist()]
+            if not lists:
+                continue
+            a = np.unique(np.concatenate(lists))
+            a = a[a < before[b]]
+        else:
+            a = np.arange(before[b])
+        if crossed:
+            a = a[side[a] != side[b]]
+        own = ctx[b][ctx[b] != 0]
+        mark[own] = True
+        for x in _chunks(a, 50_000):
+            x = x[mark[ctx[x]].sum(1) >= ALIKE]
+            if len(x):
+                yield b, x
+        mark[own] = False
+
+
+def pair_codes(codes: np.ndarray) -> np.ndarray:
+    """Distinct 16-bit codes, not 0, of neighbouring words; at most 2 * REACH + K - 1, padded with 0."""
+    out = np.zeros(2 * REACH + K - 1, np.uint16)
+    if len(codes) > 1:
+        x = np.unique((mix(codes[:-1].astype(np.uint64) << np.uint64(32) | codes[1:]) >> np.uint64(48)).astype(np.uint16))
+        x = x[x > 0]
+        out[: len(x)] = x
+    return out
+
+
+def others(texts: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (as shared) of seeds that no passage found so far covers to every earlier holder with like words around it.
+
+    A seed's first holder need not be the text that shares a passage: the seed's place goes to all holders before it. Two texts
+    with a passage of 50 columns, 40 of them equal, in at most 11 runs, have 29 pairs of neighbouring words in common;
+    places with fewer than ALIKE in REACH words around the seed are no link. A seed of very many texts is compared in blocks of BLOCK.
+    """
+    place = ["rd", "rt", "rpos"]
+    occ = shared.groupBy("t", "pos", *place).agg(F.min("d").alias("d"))
+    spans = found.select("t", "start", "end").distinct().groupBy("t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    held = F.exists("spans", lambda z: (z["start"] <= F.col("pos")) & (z["end"] >= F.col("pos") + K))
+    occ = occ.join(spans, "t", "left").select(*occ.columns, (~F.coalesce(held, F.lit(False)) & (F.col("t") != F.col("rt"))).alias("open"))
+    occ = base.stored(occ, "places")
+    hot = occ.groupBy(*place).agg(F.count("*").alias("n"), F.max("open").alias("any")).where("any and n > 2").select(*place, "n")
+    needs = occ.join(hot, place).withColumn("h", F.xxhash64(*place)).groupBy("d", "t").agg(F.collect_list(F.struct("pos", "h", "open", "n")).alias("at"))
+    needs = base.stored(needs, "places-needed")
+
+    def around(batches):
+        last = None
+        for whole in batches:
+            for b in base.slices(whole, "text", 1 << 20):
+                data, offsets = base.bytes_of(b.column("text"))
+                starts, ends, first = words_of(data, offsets)
+                codes = (Sums(data).of(starts, ends) >> np.uint64(32)).astype(np.uint32)
+                out: dict[str, list] = {f.name: [] for f in _near}
+                for r, (d, t, at) in enumerate(zip(*(b.column(c).to_pylist() for c in ("d", "t", "at")))):
+                    if (d, t) == last:
+                        continue  # rows that repeat a key follow each other
+                    last, own = (d, t), codes[first[r] : first[r + 1]]
+                    for x in at:
+                        ctx = pair_codes(own[max(0, x["pos"] - REACH) : x["pos"] + K + REACH])
+                        ctx = ctx[: np.count_nonzero(ctx)].tobytes()
+                        blocks = -(-x["n"] // BLOCK)
+                        mine = (t >> 8) % blocks
+                        for other in range(blocks):
+                            for column, v in zip(out.values(), (x["h"], min(mine, other), max(mine, other), d, t, x["pos"], x["open"], int(mine > other), ctx)):
+                                column.append(v)
+                        if len(out["d"]) > 20_000:
+                            yield base.batch(_near, **out)
+                            out = {f.name: [] for f in _near}
+                if out["d"]:
+                    yield base.batch(_near, **out)
+
+    places = base.arrow_map(texts.join(needs, ["d", "t"]).select("d", "t", "text", "at"), around, _ddl(_near))
+    keys = ("h", "i", "j")
+
+    def run(batches):
+        for table in base.groups(batches, keys, "ctx"):
+            table = table.combine_chunks()
+            cuts = base.bounds(table, keys)
+            d, t, pos, side, wanted, i, j = (table.column(c).to_numpy() for c in ("d", "t", "pos", "side", "open", "i", "j"))
+            out: list[tuple] = []
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if z - a < 2 or not wanted[a:z].any():
+                    continue
+                blobs = table.column("ctx").slice(a, z - a).to_pylist()
+                ctx = np.zeros((z - a, 2 * REACH + K - 1), np.uint16)
+                for k, blob in enumerate(blobs):
+                    ctx[k, : len(blob) // 2] = np.frombuffer(blob, np.uint16)
+                sides = side[a:z] if i[a] != j[a] else np.zeros(z - a, np.int32)
+                if i[a] != j[a] and sides.min() == sides.max():
+                    continue
+                for b, x in earlier_like(ctx, d[a:z], t[a:z], wanted[a:z], sides):
+                    out.append((np.full(len(x), a + b), a + x))
+                    if sum(len(v[0]) for v in out) > 100_000:
+                        yield links(d, t, pos, out)
+                        out = []
+            if out:
+                yield links(d, t, pos, out)
+
+    def links(d, t, pos, out):
+        b, a = (np.concatenate(x) for x in zip(*out))
+        return base.batch(_link, d=d[b], t=t[b], pos=pos[b], rd=d[a], rt=t[a], rpos=pos[a])
+
+    ordered = places.repartition(base.partitions(texts.sparkSession), *keys).sortWithinPartitions(*keys, "d", "t", "pos")
+    return base.arrow_map(ordered, run, _ddl(_link))
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """d, t, start, end (words) of every passage, with the earlier document's rd, rt, rstart, rend, and how equal it is."""
+    texts = base.keyed(docs).select("d", "t", "text")
+    met = matches(occurrences(texts), "matches")
+    shared = met.where("pos >= 0")
+    copies = met.where("pos < 0 and d <> rd").select("d", "t", F.lit(0).cast("long").alias("start"), (-F.col("pos")).alias("end"), "rd", "rt", F.lit(0).cast("long").alias("rstart"), (-F.col("pos")).alias("rend"), (-F.col("pos")).alias("equal"), (-F.col("pos")).alias("columns"))
+    # plans of a part of the size: the driver holds one at a time
     plain = base.stored(whole_runs(texts, shared), "equal-passages")
+    first = base.stored(aligned(texts, shared), "first-passages").unionByName(plain)
+    again = base.stored(others(texts, shared, first), "other-links")
+    # with the links these pairs had before
+    pairs = again.select("t", "rd", "rt").distinct()
+    more = base.stored(again.unionByName(shared.join(pairs, ["t", "rd", "rt"], "left_semi").select(*again.columns)).distinct(), "links-again")
     # rows that repeat a key are found more than once
-    return base.arrow_map(both, run, _ddl(_passages)).unionByName(plain).unionByName(copies).distinct()
+    return first.unionByName(aligned(texts, more)).unionByName(copies).distinct()
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

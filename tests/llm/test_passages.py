@@ -38,6 +38,43 @@ def test_a_fuzzy_passage_behind_a_long_equal_one(spark):
     assert set(range(7, 107)) <= found and set(range(277, 349)) <= found
 
 
+def test_a_fuzzy_passage_whose_parts_are_in_earlier_documents(spark):
+    """Every seed has its first holder elsewhere, and no 50 words in a row are equal."""
+    r = random.Random(7)
+    p = fresh(r, 90)
+    q = list(p)
+    for k in (14, 29, 44, 59, 74):
+        q[k] = f"x{k}"
+    parts = [p[k : k + 25] for k in range(0, 90, 13)]
+    rows = [(i, fresh(r, 20) + x + fresh(r, 20)) for i, x in enumerate(parts)]
+    rows += [(10, fresh(r, 30) + p + fresh(r, 30)), (11, fresh(r, 50) + q + fresh(r, 10))]
+    shifted = q[:29] + ["in", "between"] + q[29:]
+    rows += [(12, fresh(r, 40) + shifted + fresh(r, 10))]
+    for n in (1, 3):
+        found = covered(dealt(spark, rows, n))
+        assert set(range(50, 140)) <= found[11, 10] and set(range(40, 132)) <= found[12, 10] | found[12, 11]
+        assert {i for i, _ in found} == {11, 12}
+
+
+def test_earlier_places_with_like_words_around():
+    r = np.random.default_rng(8)
+    n = 700
+    words = r.integers(0, 2**32, (n, 2 * passages.REACH + passages.K), dtype=np.uint32)
+    words[:, 60:80] = words[0, 60:80]
+    near = r.integers(0, n, 60)
+    words[near, 20:100] = words[near[0], 20:100]
+    ctx = np.stack([passages.pair_codes(x) for x in words])
+    d = np.arange(n) // 2
+    want = {(b, a) for b in range(n) for a in range(n) if d[a] < d[b] and b % 3 and len(np.intersect1d(ctx[a], ctx[b][ctx[b] > 0])) >= passages.ALIKE}
+    whole = np.zeros(n, np.int32)
+    for m in (n, passages.DIRECT - 100):
+        got = {(b, int(a)) for b, x in passages.earlier_like(ctx[:m], d[:m], d[:m], np.arange(m) % 3 > 0, whole[:m]) for a in x}
+        assert got == {(b, a) for b, a in want if b < m} and got
+    side = np.arange(n, dtype=np.int32) // 2 % 2
+    got = {(b, int(a)) for b, x in passages.earlier_like(ctx, d, d, np.arange(n) % 3 > 0, side) for a in x}
+    assert got == {(b, a) for b, a in want if side[a] != side[b]}
+
+
 def test_a_phrase_said_over_and_over(spark):
     r = random.Random(3)
     rows = [(1, fresh(r, 30) + ["so"] * 80 + fresh(r, 30)), (2, fresh(r, 9) + ["so"] * 300 + fresh(r, 9)), (3, fresh(r, 60) + ["so", "on"] * 10 + fresh(r, 60)), (4, fresh(r, 30) + ["so", "on"] * 100), (5, ["so", "on"] * 90)]
