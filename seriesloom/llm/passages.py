@@ -456,12 +456,17 @@ def _pairs(batches, keys: tuple[str, ...]):
 _window = pa.schema([(c, pa.int64()) for c in ("d", "t", "lo", "hi", "origin")] + [("words", pa.binary())])
 
 
-def windows(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """d, t, lo, hi of every range of words that a chain spans, with 32-bit codes of the words from origin = lo - REACH to hi + REACH."""
+def windows(texts: DataFrame, found: DataFrame, few: bool = False) -> DataFrame:
+    """d, t, lo, hi of every range of words that a chain spans, with 32-bit codes of the words from origin = lo - REACH to hi + REACH.
+
+    With few, the ranges are stored first: the planner then sees their size, and need not shuffle the texts.
+    """
     own = found.select("d", "t", F.struct("lo", "hi").alias("range"))
     other = found.select(F.col("rd").alias("d"), F.col("rt").alias("t"), F.struct(F.col("rlo").alias("lo"), F.col("rhi").alias("hi")).alias("range"))
     # at most one for each two words of a text, however many chains it is in
     needs = own.unionByName(other).groupBy("d", "t").agg(F.collect_set("range").alias("ranges"))
+    if few:
+        needs = base.stored(needs, "ranges")
 
     def run(batches):
         last = None
@@ -638,10 +643,10 @@ def hopeful(batch: pa.RecordBatch) -> np.ndarray:
 _passages = pa.schema([(c, pa.int64()) for c in ("d", "t", "start", "end", "rd", "rt", "rstart", "rend", "equal", "columns")])
 
 
-def aligned(texts: DataFrame, links: DataFrame) -> DataFrame:
+def aligned(texts: DataFrame, links: DataFrame, few: bool = False) -> DataFrame:
     """Passages of the pairs of texts that links tie: chains of links, aligned on the words around them."""
     found = base.stored(chains(links.where("t <> rt")), "chains")
-    spans = windows(texts, found)
+    spans = windows(texts, found, few)
     own = spans.withColumnsRenamed({"origin": "a0", "words": "a"})
     other = spans.toDF("rd", "rt", "rlo", "rhi", "b0", "b")
     # a place that many chains lead to is met first, the places of their own texts spread them again
@@ -722,14 +727,16 @@ def others(texts: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
     places with fewer than ALIKE in REACH words around the seed are no link. A seed of very many texts is compared in blocks of BLOCK.
     """
     place = ["rd", "rt", "rpos"]
-    occ = shared.groupBy("t", "pos", *place).agg(F.min("d").alias("d"))
+    # small tables are stored, so that the planner sees their size
     spans = found.select("t", "start", "end").distinct().groupBy("t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = base.stored(spans, "covered")
     held = F.exists("spans", lambda z: (z["start"] <= F.col("pos")) & (z["end"] >= F.col("pos") + K))
-    occ = occ.join(spans, "t", "left").select(*occ.columns, (~F.coalesce(held, F.lit(False)) & (F.col("t") != F.col("rt"))).alias("open"))
+    occ = shared.join(spans, "t", "left").select("d", "t", "pos", *place, (~F.coalesce(held, F.lit(False)) & (F.col("t") != F.col("rt"))).alias("open"))
     occ = base.stored(occ, "places")
-    hot = occ.groupBy(*place).agg(F.count("*").alias("n"), F.max("open").alias("any")).where("any and n > 2").select(*place, "n")
-    needs = occ.join(hot, place).withColumn("h", F.xxhash64(*place)).groupBy("d", "t").agg(F.collect_list(F.struct("pos", "h", "open", "n")).alias("at"))
-    needs = base.stored(needs, "places-needed")
+    hot = base.stored(occ.groupBy(*place).agg(F.count("*").alias("n"), F.max("open").alias("any")).where("any and n > 2").select(*place, "n"), "seeds-again")
+    at = F.struct("pos", F.xxhash64(*place).alias("h"), "open", "n")
+    # equal texts are one, that of the smallest doc_id; as many texts are needed as not, so none is broadcast
+    needs = occ.join(hot, place).groupBy("t").agg(F.min("d").alias("d"), F.collect_set(at).alias("at")).hint("merge")
 
     def around(batches):
         last = None
@@ -769,10 +776,9 @@ def others(texts: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
             for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if z - a < 2 or not wanted[a:z].any():
                     continue
-                blobs = table.column("ctx").slice(a, z - a).to_pylist()
+                blobs = table.column("ctx").slice(a, z - a)
                 ctx = np.zeros((z - a, 2 * REACH + K - 1), np.uint16)
-                for k, blob in enumerate(blobs):
-                    ctx[k, : len(blob) // 2] = np.frombuffer(blob, np.uint16)
+                ctx[np.arange(ctx.shape[1]) < pc.binary_length(blobs).to_numpy()[:, None] // 2] = np.frombuffer(b"".join(blobs.to_pylist()), np.uint16)
                 sides = side[a:z] if i[a] != j[a] else np.zeros(z - a, np.int32)
                 if i[a] != j[a] and sides.min() == sides.max():
                     continue
@@ -795,7 +801,7 @@ def others(texts: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
 def passages(docs: DataFrame) -> DataFrame:
     """d, t, start, end (words) of every passage, with the earlier document's rd, rt, rstart, rend, and how equal it is."""
     texts = base.keyed(docs).select("d", "t", "text")
-    met = matches(occurrences(texts), "matches")
+    met = base.stored(matches(occurrences(texts), "matches"), "shared-seeds")
     shared = met.where("pos >= 0")
     copies = met.where("pos < 0 and d <> rd").select("d", "t", F.lit(0).cast("long").alias("start"), (-F.col("pos")).alias("end"), "rd", "rt", F.lit(0).cast("long").alias("rstart"), (-F.col("pos")).alias("rend"), (-F.col("pos")).alias("equal"), (-F.col("pos")).alias("columns"))
     # plans of a part of the size: the driver holds one at a time
@@ -804,9 +810,9 @@ def passages(docs: DataFrame) -> DataFrame:
     again = base.stored(others(texts, shared, first), "other-links")
     # with the links these pairs had before
     pairs = again.select("t", "rd", "rt").distinct()
-    more = base.stored(again.unionByName(shared.join(pairs, ["t", "rd", "rt"], "left_semi").select(*again.columns)).distinct(), "links-again")
+    more = again.unionByName(shared.join(pairs, ["t", "rd", "rt"], "left_semi").select(*again.columns)).distinct()
     # rows that repeat a key are found more than once
-    return first.unionByName(aligned(texts, more)).unionByName(copies).distinct()
+    return first.unionByName(aligned(texts, more, few=True)).unionByName(copies).distinct()
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
