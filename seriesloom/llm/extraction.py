@@ -2,10 +2,11 @@
 
 Two sources of evidence. (1) What HTML says about a container: its tag, role, class and id name
 menus, headers, footers, sidebars, notices, adverts, forms and comments. (2) What the site
-repeats: the digest of each element subtree outside the article is counted per host over pages of
-different content, and subtrees that recur on MANY pages are deleted. Inside an article only
-(1) cuts, so that repeated sentences and copied articles stay whole; a name counts there only if none of
-its words is another one (`share-buttons`, but not `entry-header` or `related-work`).
+repeats: the digest of each element subtree is counted per host over pages of different content, and subtrees
+that recur on MANY pages are deleted. Inside an article this goes for CONTAINERS that hold at most half of its text,
+counted over different articles, and they must be on one in RARE of the host's: so repeated sentences, paragraphs and
+copied articles stay whole. A name counts inside an article only if none of its words is another one (`share-buttons`,
+but not `entry-header` or `related-work`).
 
 Defined results: null or empty html gives an empty text; a page without an article or main
 element gives what is left of its body; a null url is a host of its own; repeated rows give
@@ -27,6 +28,9 @@ from . import base
 from .html_tree import BLOCK, parse
 
 MANY = 8
+RARE = 10
+INSIDE = 1  # stands for all articles of a page; keys of subtrees of articles are odd, others even
+CONTAINERS = frozenset("div section ul ol dl table header details center address figure hgroup".split())
 DROP = frozenset("head script style noscript template nav footer aside form button input select textarea iframe svg canvas object embed dialog menu search audio video map datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 # Names that containers of boilerplate carry in class or id, as whole words between - _ and spaces.
@@ -84,6 +88,10 @@ def digest(node: list) -> int:
     return h.intdigest() - (1 << 63)
 
 
+def key(node: list, inside: bool) -> int:
+    return digest(node) | 1 if inside else digest(node) & ~1
+
+
 def articles(root: list) -> list[list]:
     """The article elements that stand in no boilerplate; else the main elements; else the whole."""
     found: dict[str, list] = {"article": [], "main": []}
@@ -147,6 +155,32 @@ def candidates(root: list) -> list[list]:
     return out
 
 
+def parts(root: list) -> list[list]:
+    """Containers of the article that could be site template: those HTML itself does not name, of at most half of its text."""
+    out: list = []
+    for top in articles(root):
+        if top[0] == "#root":
+            continue
+        sizes: dict[int, int] = {}
+
+        def size(x, sizes=sizes) -> int:
+            n = sum(len(_white.sub("", c)) if isinstance(c, str) else 0 if boilerplate(c, True) else size(c) for c in x[2])
+            sizes[id(x)] = n
+            return n
+
+        whole = size(top)
+
+        def walk(x, whole=whole, sizes=sizes):
+            for c in x[2]:
+                if not isinstance(c, str) and id(c) in sizes:
+                    if c[0] in CONTAINERS and 0 < 2 * sizes[id(c)] <= whole:
+                        out.append(c)
+                    walk(c)
+
+        walk(top)
+    return out
+
+
 def main_text(root: list, templates: frozenset | set = frozenset()) -> str:
     """Blocks of the main text in page order, one to a line; subtrees whose digest is a template are deleted."""
     blocks: list[str] = []
@@ -163,7 +197,7 @@ def main_text(root: list, templates: frozenset | set = frozenset()) -> str:
             if isinstance(c, str):
                 line.append(c)
                 continue
-            if boilerplate(c, inside) or (prune and c[0] not in KEEP and digest(c) in templates):
+            if boilerplate(c, inside) or (prune is not None and c[0] not in KEEP and (not prune or c[0] in CONTAINERS) and key(c, prune) in templates):
                 continue
             if c[0] == "br":
                 line.append(" ")
@@ -175,7 +209,7 @@ def main_text(root: list, templates: frozenset | set = frozenset()) -> str:
                 walk(c, inside, prune)
 
     for top in articles(root):
-        walk(top, top[0] != "#root", bool(templates) and top[0] == "#root")
+        walk(top, top[0] != "#root", top[0] != "#root" if templates else None)
         end()
     return "\n".join(blocks)
 
@@ -188,22 +222,32 @@ def host_of(url: str | None) -> str:
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """host, page, subtree: each page's template candidates once; page is a digest of host and html."""
-    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("subtree", pa.int64())])
+    """host, page, content, subtree: each page's template candidates once.
+
+    page is a digest of url and html, content one of what counts as different: the html, and for a subtree of the article
+    all its articles. A page with articles has a row of subtree INSIDE, by which those of a host are counted.
+    """
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("content", pa.int64()), ("subtree", pa.int64())])
 
     def run(batches):
         for whole in batches:
             for b in base.slices(whole, "html"):
-                out: tuple[list, list, list] = ([], [], [])
+                out: tuple[list, list, list, list] = ([], [], [], [])
                 for url, page, html in zip(*(c.to_pylist() for c in b.columns)):
-                    host = host_of(url)
-                    for x in sorted({digest(c) for c in candidates(parse(html or ""))}):
-                        for column, v in zip(out, (host, page, x)):
+                    host, root = host_of(url), parse(html or "")
+                    own = xxhash.xxh64((html or "").encode("utf-8", "surrogatepass")).intdigest() - (1 << 63)
+                    found = {(own, key(c, False)) for c in candidates(root)}
+                    tops = articles(root)
+                    if tops[0][0] != "#root":
+                        main = digest(["#articles", {}, tops])
+                        found |= {(main, INSIDE)} | {(main, key(c, True)) for c in parts(root)}
+                    for content, x in sorted(found):
+                        for column, v in zip(out, (host, page, content, x)):
                             column.append(v)
                 if out[0]:
-                    yield base.batch(schema, host=out[0], page=out[1], subtree=out[2])
+                    yield base.batch(schema, host=out[0], page=out[1], content=out[2], subtree=out[3])
 
-    return base.arrow_map(pages.select("url", "_page", "html"), run, "host string, page long, subtree long")
+    return base.arrow_map(pages.select("url", "_page", "html"), run, "host string, page long, content long, subtree long")
 
 
 def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
@@ -211,8 +255,11 @@ def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
     keyed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     keyed = keyed.withColumn("_page", F.xxhash64("url", "html"))
     seen = base.stored(subtrees(keyed).distinct(), "subtrees")
-    # count by content, so that copies of one page do not make its body a template
-    common = seen.groupBy("host", "subtree").count().where(F.col("count") >= many).select("host", "subtree")
+    # count by content, so that copies of one page or article do not make its body a template
+    count = seen.select("host", "subtree", "content").distinct().groupBy("host", "subtree").count().where(F.col("count") >= many)
+    count = base.stored(count, "subtree-counts")
+    hosts = count.where(F.col("subtree") == INSIDE).select("host", F.col("count").alias("articles"))
+    common = count.where(F.col("subtree") != INSIDE).join(hosts, "host", "left").where((F.col("subtree").bitwiseAND(F.lit(1)) == 0) | (F.col("count") * RARE >= F.col("articles"))).select("host", "subtree")
     kill = base.stored(seen.join(common, ["host", "subtree"]).groupBy("page").agg(F.collect_set("subtree").alias("templates")), "templates")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 

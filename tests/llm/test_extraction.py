@@ -52,6 +52,26 @@ def test_site_templates(spark):
     assert X.extract(df.where("page_id < 0")).count() == 0
 
 
+def test_site_templates_inside_articles(spark):
+    promo = "<div class='x1'><b>Read us</b><p>Every day, on paper.</p></div>"
+    page = lambda body: f"<html><body><article>{body}</article></body></html>"
+    rows = [(i, f"http://a.example/{i}", page(f"<h1>Title {i}</h1><p>The same sentence.</p><p>Own text number {i}, long enough.</p>{promo}")) for i in range(12)]
+    rows += [(100 + i, f"http://b.example/{i}", page(f"<p>Few have it: {i}, so it stays here.</p>{promo}")) for i in range(7)]
+    copied = page("<div><p>One half.</p></div><div><p>The other half.</p></div>")
+    rows += [(200 + i, f"http://c.example/{i}", copied.replace("<body>", f"<body><nav>{i}</nav>")) for i in range(12)]
+    rows += [(300 + i, f"http://d.example/{i}", page(f"<div><p>Most of this article is the same.</p></div><p>{i}</p>")) for i in range(12)]
+    rows += [(400 + i, f"http://e.example/{i}", page(f"<p>Own text number {i}, long enough to be more.</p>{promo if i < 9 else ''}")) for i in range(120)]
+    rows += [(600 + i, f"http://f.example/{i}", "<body><div>One page</div><p>under many addresses</p></body>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in X.extract(df).collect()}
+    assert got[3] == "Title 3\nThe same sentence.\nOwn text number 3, long enough."
+    assert got[100] == "Few have it: 0, so it stays here.\nRead us\nEvery day, on paper."
+    assert got[200] == "One half.\nThe other half."
+    assert got[300] == "Most of this article is the same.\n0"
+    assert got[400].endswith("Every day, on paper.")
+    assert got[600] == "One page\nunder many addresses"
+
+
 def test_interleaved_sequences(spark):
     html = "<p>a</p><figure><img src='sha256:aa' alt='no'><figcaption>cap <b>1</b></figcaption></figure><p>b<img src=bb alt=two>c</p><img>"
     items = media.interleave(html)
