@@ -53,7 +53,7 @@ REACH = 64
 TAIL = 16
 FLUSH = 600_000
 ALIKE = 24  # pairs of neighbouring words that the places of a passage share, at least: 29 of any 50 columns that reach IDENTITY
-DIRECT = 512
+DIRECT = 256
 BLOCK = 4096
 SPREAD = 16  # occurrences of a seed in one flush that all go to the seed's key
 _seed = pa.schema([(c, pa.int64()) for c in ("h", "d", "t", "pos", "rd", "rt", "rpos")])
@@ -678,26 +678,35 @@ def earlier_like(ctx: np.ndarray, d: np.ndarray, t: np.ndarray, wanted: np.ndarr
     begin = np.searchsorted(np.arange(n), np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])])))
     before = begin[np.searchsorted(begin, np.arange(n), side="right") - 1]  # the first row of the same text
     crossed = side.min() != side.max()
+    if n <= DIRECT:
+        row, column = np.nonzero(ctx)
+        _, code, count = np.unique(ctx[row, column], return_inverse=True, return_counts=True)
+        often = count > 1
+        kept = often[code]
+        has = np.zeros((n, int(often.sum())), np.float32)
+        has[row[kept], (np.cumsum(often) - 1)[code[kept]]] = 1
+        like = (has @ has.T >= ALIKE) & (np.arange(n) < before[:, None]) & wanted[:, None]
+        if crossed:
+            like &= side[:, None] != side
+        for b in np.flatnonzero(like.any(1)):
+            yield b, np.flatnonzero(like[b])
+        return
     mark = np.zeros(1 << 16, bool)
-    if n > DIRECT:
-        count = np.bincount(ctx.ravel(), minlength=1 << 16)
-        count[0] = -1
-        rank = np.empty(1 << 16, np.int64)
-        rank[np.lexsort((np.arange(1 << 16), count))] = np.arange(1 << 16)
-        by = np.take_along_axis(ctx, np.argsort(-rank[ctx], axis=1), 1)[:, ALIKE - 1 :]
-        row, _ = np.nonzero(by)
-        code = by[by != 0]
-        order = np.argsort(code, kind="stable")
-        row, at = row[order], np.searchsorted(code[order], np.arange((1 << 16) + 1))
+    count = np.bincount(ctx.ravel(), minlength=1 << 16)
+    count[0] = -1
+    rank = np.empty(1 << 16, np.int64)
+    rank[np.lexsort((np.arange(1 << 16), count))] = np.arange(1 << 16)
+    by = np.take_along_axis(ctx, np.argsort(-rank[ctx], axis=1), 1)[:, ALIKE - 1 :]
+    row, _ = np.nonzero(by)
+    code = by[by != 0]
+    order = np.argsort(code, kind="stable")
+    row, at = row[order], np.searchsorted(code[order], np.arange((1 << 16) + 1))
     for b in np.flatnonzero(wanted & (before > 0)):
-        if n > DIRECT:
-            lists = [row[at[c] : at[c + 1]] for c in by[b][by[b] != 0].tolist()]
-            if not lists:
-                continue
-            a = np.unique(np.concatenate(lists))
-            a = a[a < before[b]]
-        else:
-            a = np.arange(before[b])
+        lists = [row[at[c] : at[c + 1]] for c in by[b][by[b] != 0].tolist()]
+        if not lists:
+            continue
+        a = np.unique(np.concatenate(lists))
+        a = a[a < before[b]]
         if crossed:
             a = a[side[a] != side[b]]
         own = ctx[b][ctx[b] != 0]
@@ -710,13 +719,15 @@ def earlier_like(ctx: np.ndarray, d: np.ndarray, t: np.ndarray, wanted: np.ndarr
 
 
 def pair_codes(codes: np.ndarray) -> np.ndarray:
-    """Distinct 16-bit codes, not 0, of neighbouring words; at most 2 * REACH + K - 1, padded with 0."""
-    out = np.zeros(2 * REACH + K - 1, np.uint16)
-    if len(codes) > 1:
-        x = np.unique((mix(codes[:-1].astype(np.uint64) << np.uint64(32) | codes[1:]) >> np.uint64(48)).astype(np.uint16))
-        x = x[x > 0]
-        out[: len(x)] = x
-    return out
+    """16-bit codes, not 0, of words with their next."""
+    return np.maximum(mix(codes[:-1].astype(np.uint64) << np.uint64(32) | codes[1:]) >> np.uint64(48), 1).astype(np.uint16)
+
+
+def once(ctx: np.ndarray) -> np.ndarray:
+    """Each code once a row, the others 0."""
+    ctx = np.sort(ctx, axis=1)
+    ctx[:, 1:][ctx[:, 1:] == ctx[:, :-1]] = 0
+    return ctx
 
 
 def others(texts: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
@@ -744,15 +755,14 @@ def others(texts: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
             for b in base.slices(whole, "text", 1 << 20):
                 data, offsets = base.bytes_of(b.column("text"))
                 starts, ends, first = words_of(data, offsets)
-                codes = (Sums(data).of(starts, ends) >> np.uint64(32)).astype(np.uint32)
+                pairs = pair_codes((Sums(data).of(starts, ends) >> np.uint64(32)).astype(np.uint32))
                 out: dict[str, list] = {f.name: [] for f in _near}
                 for r, (d, t, at) in enumerate(zip(*(b.column(c).to_pylist() for c in ("d", "t", "at")))):
                     if (d, t) == last:
                         continue  # rows that repeat a key follow each other
-                    last, own = (d, t), codes[first[r] : first[r + 1]]
+                    last, own = (d, t), pairs[first[r] : max(first[r], first[r + 1] - 1)]
                     for x in at:
-                        ctx = pair_codes(own[max(0, x["pos"] - REACH) : x["pos"] + K + REACH])
-                        ctx = ctx[: np.count_nonzero(ctx)].tobytes()
+                        ctx = own[max(0, x["pos"] - REACH) : x["pos"] + K + REACH - 1].tobytes()
                         blocks = -(-x["n"] // BLOCK)
                         mine = (t >> 8) % blocks
                         for other in range(blocks):
@@ -773,6 +783,7 @@ def others(texts: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
             cuts = base.bounds(table, keys)
             d, t, pos, side, wanted, i, j = (table.column(c).to_numpy() for c in ("d", "t", "pos", "side", "open", "i", "j"))
             out: list[tuple] = []
+            size = 0
             for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if z - a < 2 or not wanted[a:z].any():
                     continue
@@ -782,11 +793,12 @@ def others(texts: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
                 sides = side[a:z] if i[a] != j[a] else np.zeros(z - a, np.int32)
                 if i[a] != j[a] and sides.min() == sides.max():
                     continue
-                for b, x in earlier_like(ctx, d[a:z], t[a:z], wanted[a:z], sides):
+                for b, x in earlier_like(once(ctx), d[a:z], t[a:z], wanted[a:z], sides):
                     out.append((np.full(len(x), a + b), a + x))
-                    if sum(len(v[0]) for v in out) > 100_000:
+                    size += len(x)
+                    if size > 100_000:
                         yield links(d, t, pos, out)
-                        out = []
+                        out, size = [], 0
             if out:
                 yield links(d, t, pos, out)
 

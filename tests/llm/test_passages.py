@@ -63,7 +63,7 @@ def test_earlier_places_with_like_words_around():
     words[:, 60:80] = words[0, 60:80]
     near = r.integers(0, n, 60)
     words[near, 20:100] = words[near[0], 20:100]
-    ctx = np.stack([passages.pair_codes(x) for x in words])
+    ctx = passages.once(np.stack([passages.pair_codes(x) for x in words]))
     d = np.arange(n) // 2
     want = {(b, a) for b in range(n) for a in range(n) if d[a] < d[b] and b % 3 and len(np.intersect1d(ctx[a], ctx[b][ctx[b] > 0])) >= passages.ALIKE}
     whole = np.zeros(n, np.int32)
